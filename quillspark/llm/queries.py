@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import distinctive, near_duplicates, packing, ranking, repetition, sampling, splitting, tokens
+from . import distinctive, near_duplicates, packing, ranking, repetition, sampling, sentences, splitting, tokens
 
 #: Problem 5 in this project's data: three-word runs, half of the union, ten words.
 SONGS_ALIKE = near_duplicates.Similarity(run=3, threshold=0.5, min_words=10, rows=5, bands=204)
@@ -102,11 +102,20 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    prose = table(spark, d, "documents").where(F.col("source").isin("liner_notes", "review", "annotation", "interview"))
+    return sentences.sentence_units(prose).select("doc_id", "end_pos")
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_repetition, p2_found, p2_report, p2_sample, p3_found, p3_ranking, p4_found, p4_pieces,
-        p5_found, p5_groups, p6_found, p6_weights, p6_shared, p7_ids, p8_found, p8_containers,
+        p5_found, p5_groups, p6_found, p6_weights, p6_shared, p7_ids, p8_found, p8_containers, p9_found, p9_sentences,
     )
 }
 ORACLES: dict[str, str] = {}
