@@ -85,7 +85,7 @@ def mean_ci(rows, keys: list[str], value: str, order: str, **how):
     by_sums = large.where("n > 1000000").select(*keys, "n", "mean", (F.col("mean") - half).alias("ci_lo"), (F.col("mean") + half).alias("ci_hi"))
     small = rows.join(large.where("n <= 1000000").select(*keys), keys, "left_semi")
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=[value]).sort_values(order)
         if pdf.empty:
             return pd.DataFrame({c: [] for c in [*keys, "n", "mean", "ci_lo", "ci_hi"]})

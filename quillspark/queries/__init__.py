@@ -1,6 +1,6 @@
 """The catalogue of named queries and their SQL."""
 
-from . import text  # noqa: F401
+from . import evaluation, search, text  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
