@@ -166,15 +166,17 @@ def similar_classes(records: DataFrame, record_id: str, text: str, how: Similari
     """
     once = records.select(F.col(record_id).cast("string").alias("record_id"), F.col(text).alias("text")).where(F.col("record_id").isNotNull() & F.col("text").isNotNull())
     least = max(how.min_words, how.run)
-    known = once.select("record_id", _classed("text").alias("c")).select("record_id", "c.*").where(F.col("n_words") >= least)
-    best = known.groupBy("record_id").agg(F.max(F.struct("n_words", "class_key")).alias("m")).select("record_id", F.col("m.class_key").alias("class_key"))
-    best = materialize(best, "classes")
+    # of several texts of a record the longest counts, here and below by the same order
+    length, tie = F.length("text").alias("length"), F.xxhash64("text").alias("tie")
+    known = once.select("record_id", length, tie, _classed("text").alias("c"))
+    best = known.groupBy("record_id").agg(F.max(F.struct("length", "tie", "c")).alias("m"))
+    best = materialize(best.where(F.col("m.c.n_words") >= least).select("record_id", F.col("m.c.class_key").alias("class_key")), "classes")
     reps = best.groupBy("class_key").agg(F.min("record_id").alias("rep"))
     members = materialize(salted_join(best, reps, ["class_key"], F.col("record_id")).select("record_id", "rep"), "members")
 
     own = members.where(F.col("record_id") == F.col("rep")).select("rep")
     texts = once.withColumnRenamed("record_id", "rep").join(own, "rep", "left_semi")
-    texts = texts.groupBy("rep").agg(F.max(F.struct(F.length("text"), "text")).alias("m")).select("rep", F.col("m.text").alias("text"))
+    texts = texts.groupBy("rep").agg(F.max(F.struct(length, tie, "text")).alias("m")).select("rep", F.col("m.text").alias("text"))
     # ids of eight bytes for the wide shuffle; written, so that they stay
     texts = materialize(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
     sketched = materialize(texts.mapInPandas(_sketched(how), "id bigint, keys array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"), "sketches")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,16 +100,19 @@ def _matches(marks: list[tuple[int, str]]) -> dict[int, int]:
     """Places of opening marks and their closing marks within a paragraph; marks without a partner are left out."""
     stack: list[tuple[int, str]] = []
     pairs: dict[int, int] = {}
+    waiting: Counter[str] = Counter()  # closing marks that some open mark waits for
     for at, c in marks:
-        # the nearest open mark that this one closes; those opened inside it were none
-        for k in range(len(stack) - 1, -1, -1):
-            if c in _PAIRS[stack[k][1]]:
-                pairs[stack[k][0]] = at
-                del stack[k:]
-                break
-        else:
-            if c in _PAIRS:
-                stack.append((at, c))
+        if waiting[c]:
+            # the nearest open mark that this one closes; those opened inside it were none
+            while stack:
+                opened, o = stack.pop()
+                waiting.subtract(_PAIRS[o])
+                if c in _PAIRS[o]:
+                    pairs[opened] = at
+                    break
+        elif c in _PAIRS:
+            stack.append((at, c))
+            waiting.update(_PAIRS[c])
     return pairs
 
 
@@ -160,15 +164,15 @@ class Automaton:
                     opened = a
                 stack.append(pairs[a])
                 pending = None
-            elif stack and a in stack:
-                del stack[stack.index(a) :]
+            elif stack and stack[-1] == a:  # pairs are nested
+                stack.pop()
                 if stack or pending is None:
                     continue
                 if text[pending[1] : a].strip(" \t\r\n\xa0 " + "".join(_CLOSERS)):
                     pending = None
                     continue
                 e = self._closed(b, closing)
-                whole = c in ")]}）】" and not text[unit:opened].strip()
+                whole = c in ")]}）】" and self._blank(unit, opened)
                 if self._ends(*pending, e, unit, c not in ")]}）】", whole):
                     out.append((unit, e))
                     unit = done = e
@@ -213,6 +217,11 @@ class Automaton:
             found.append(m.span())
         return found
 
+    def _blank(self, start: int, end: int) -> bool:
+        while start < end and self.text[start].isspace():
+            start += 1
+        return start >= end
+
     def _closed(self, at: int, closing: set[int]) -> int:
         """After the closing marks that stand right at ``at`` and close nothing that is still open."""
         while at < self.end and self.text[at] in _CLOSERS and at not in closing and self.text[at] not in _PAIRS:
@@ -285,7 +294,7 @@ class Automaton:
         if kind == "sometimes" or _ACRONYM.fullmatch(word):
             return True
         if word.isdigit():
-            if not text[unit:w].strip():
+            if self._blank(unit, w):
                 return False  # the number of a list item
             before = re.search(r"([^\W\d_]+)\s+$", text[max(unit, w - 30) : w])
             if before and before.group(1).lower() in BEFORE_ORDINAL and c.isupper():

@@ -50,7 +50,10 @@ class TrieEncoder:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = dict(map(reversed, self.rank.items()))
-        self.longest = max(map(len, self.rank))
+        #: The length of the longest token by its last two bytes.
+        self.longest: dict[bytes, int] = {}
+        for t in self.rank:
+            self.longest[t[-2:]] = max(len(t), self.longest.get(t[-2:], 1))
         self.find = regex.compile(pattern).findall
         self.memo: dict[str, tuple[int, ...]] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
@@ -111,7 +114,7 @@ class TrieEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Encode words that are new, in the depth-first order of their trie."""
-        rank, longest, may_follow, length = self.rank, self.longest, self.may_follow, {}
+        rank, longest, may_follow, length = self.rank, self.longest.get, self.may_follow, {}
         last: list[int] = [-1]  # last[d]: last token of the first d bytes of the path
         path = b""
         for word, b in sorted(((w, w.encode()) for w in words), key=lambda x: x[1]):
@@ -120,7 +123,7 @@ class TrieEncoder:
                 shared += 1
             del last[shared + 1 :]
             for d in range(shared + 1, len(b) + 1):
-                for start in range(max(0, d - longest), d):
+                for start in range(max(0, d - longest(b[max(0, d - 2) : d], 1)), d):
                     t = rank.get(b[start:d])
                     if t is not None and (start == 0 or may_follow(last[start], t)):
                         break
