@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from .tokens import token_ids
 
 CAPACITY = 2048
@@ -119,7 +120,8 @@ def pack(documents: DataFrame, *, capacity: int = CAPACITY, shard_items: int = S
     item.  The tokens of the rows of a container add up to at most
     ``capacity``.  Repeated doc_ids are packed once each row.
     """
-    items = items_of(token_ids(documents, path=path), capacity)
+    # written once: three readers follow (full pieces, the sampled range bounds, the packing)
+    items = materialize(items_of(token_ids(documents, path=path), capacity), "items")
     full = F.col("n_tokens") == capacity
     name = F.concat_ws(":", "doc_id", "piece")
     own = items.where(full).select(name.alias("container_id"), F.lit(0).alias("slot"), F.col("doc_id").cast("bigint").alias("doc_id"), "piece", "start_token", "n_tokens")
