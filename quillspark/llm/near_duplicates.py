@@ -81,33 +81,28 @@ def runs(tokens: list[str], k: int) -> np.ndarray:
 def sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
     """One row of ``size`` 64-bit coordinates per non-empty set, all sets in step."""
     n = len(sets)
-    out = np.zeros((n, size), dtype=np.uint64)
-    flat = out.reshape(-1)
     elements = np.concatenate(sets) if n else np.empty(0, dtype=np.uint64)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    left = np.full(n, size)
-    filled = np.zeros(n * size, dtype=bool)
-    lowest = np.empty(n * size, dtype=np.uint64)
-    top = np.uint64(2**64 - 1)
+    first = np.repeat(np.arange(n) * size, [len(s) for s in sets])  # place of the owner's first bin
+    lowest = np.full(n * size, 2**64 - 1, dtype=np.uint64)
+    in_round = np.full(n * size, -1, dtype=np.int32)
+    half = np.uint64(32)
     with np.errstate(over="ignore"):
         for r in range(2 * size):
             if not len(elements):
                 break
             h = _mix(elements + _STEP * np.uint64(r + 1))
-            bins = (h % np.uint64(size)).astype(np.int64) if r < size else np.full(len(h), r - size)
-            at = owner * size + bins
-            free = ~filled[at]
+            at = first + (((h >> half) * np.uint64(size)) >> half).astype(np.int64) if r < size else first + (r - size)
+            free = in_round[at] < 0
             at, h = at[free], h[free]
-            new = np.unique(at)
-            lowest[new] = top
             np.minimum.at(lowest, at, h)
-            flat[new] = _mix(lowest[new] ^ np.uint64(r))  # equal only from one round
-            filled[new] = True
-            left -= np.bincount(new // size, minlength=n)
-            if not left.all():
-                open_ = left[owner] > 0
-                elements, owner = elements[open_], owner[open_]
-    return out
+            in_round[at] = r
+            if r % 8 == 7:  # texts whose bins are full are done
+                done = (in_round.reshape(n, size) >= 0).all(axis=1)
+                if done.any():
+                    rest = ~done[first // size]
+                    elements, first = elements[rest], first[rest]
+        # a coordinate of two sets is equal only if it was filled in the same round
+        return _mix(lowest ^ (in_round.astype(np.uint64) * _STEP)).reshape(n, size)
 
 
 def band_keys(sketch: np.ndarray, rows: int, bands: int) -> np.ndarray:
