@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .tokens import token_ids
+from .tokens import token_pieces
 
 CAPACITY = 2048
 SHARD_ITEMS = 2048
@@ -102,16 +102,6 @@ def pack_shard(items: list[np.ndarray], capacity: int = CAPACITY) -> list[list[i
     return out
 
 
-def items_of(ids: DataFrame, capacity: int) -> DataFrame:
-    """(doc_id, piece, start_token, n_tokens, ids): full lengths of long documents, and everything else."""
-    size = F.size("ids")
-    # the last start is below the size, so a document of a whole number of capacities leaves no empty piece
-    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(capacity))
-    cut = ids.select("doc_id", "ids", F.posexplode(starts).alias("piece", "start_token"))
-    part = cut.select("doc_id", "piece", "start_token", F.slice("ids", F.col("start_token") + 1, F.lit(capacity)).alias("ids"))
-    return part.select("doc_id", "piece", "start_token", F.size("ids").alias("n_tokens"), "ids")
-
-
 def pack(documents: DataFrame, *, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, path: str | None = None) -> DataFrame:
     """One row per item: container_id, slot, doc_id, piece, start_token, n_tokens.
 
@@ -121,7 +111,7 @@ def pack(documents: DataFrame, *, capacity: int = CAPACITY, shard_items: int = S
     ``capacity``.  Repeated doc_ids are packed once each row.
     """
     # written once: three readers follow (full pieces, the sampled range bounds, the packing)
-    items = materialize(items_of(token_ids(documents, path=path), capacity), "items")
+    items = materialize(token_pieces(documents, capacity, path=path), "items")
     full = F.col("n_tokens") == capacity
     name = F.concat_ws(":", "doc_id", "piece")
     own = items.where(full).select(name.alias("container_id"), F.lit(0).alias("slot"), F.col("doc_id").cast("bigint").alias("doc_id"), "piece", "start_token", "n_tokens")

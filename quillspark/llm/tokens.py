@@ -174,11 +174,41 @@ def token_ids(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kind = documents.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(where, pat)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(at, _BATCH)
-                offsets, ids = enc.encode_batch(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
+        for keys, offsets, ids in _encoded(batches, where, pat):
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
 
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+
+
+def token_pieces(documents: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text", *, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, piece, start_token, n_tokens, ids): the ids cut into pieces of ``size``, the last one shorter.
+
+    A text without ids is one empty piece; a whole number of sizes leaves no
+    empty piece.  The cuts are made where the ids are, so a very long text is
+    never carried along once for each of its pieces.
+    """
+    where, pat = path or vocabulary_path(), pattern or split_pattern()
+    kind = documents.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, offsets, ids in _encoded(batches, where, pat):
+            n = np.diff(offsets)
+            count = np.maximum(1, -(-n // size))
+            owner = np.repeat(np.arange(len(n)), count)
+            piece = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+            start = piece * size
+            length = np.minimum(size, n[owner] - start).astype(np.int32)
+            cuts = np.append(offsets[:-1][owner] + start, offsets[-1]).astype(np.int32)
+            columns = [keys.take(pa.array(owner)), pa.array(piece), pa.array(start.astype(np.int32)), pa.array(length), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start_token", "n_tokens", "ids"])
+
+    schema = f"doc_id {kind}, piece int, start_token int, n_tokens int, ids array<int>"
+    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    enc = encoder(path, pattern)
+    for batch in batches:
+        for at in range(0, batch.num_rows, _BATCH):
+            part = batch.slice(at, _BATCH)
+            yield part.column(0), *enc.encode_batch(part.column(1).to_pylist())
