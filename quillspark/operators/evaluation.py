@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import METRICS, mean_ci
+from ..runtime import salted_join
 
 UNKNOWN, MIXED, NONE = "(unknown)", "mixed", "(none)"
 
@@ -39,7 +40,7 @@ def song_split_labels(songs: DataFrame, chunks: DataFrame) -> DataFrame:
 def query_labels(queries: DataFrame, labels: DataFrame, label: str, relevant: str = "relevant_song_ids") -> DataFrame:
     """(query_id, value): the label all relevant songs of a query share, else 'mixed'; '(unknown)' without any."""
     ids = queries.select("query_id", F.explode_outer(relevant).alias("song_id"))
-    of = ids.join(labels.select("song_id", F.col(label).alias("v")), "song_id", "left").withColumn("v", F.coalesce("v", F.lit(UNKNOWN)))
+    of = salted_join(ids, labels.select("song_id", F.col(label).alias("v")), ["song_id"], F.col("query_id"), "left").withColumn("v", F.coalesce("v", F.lit(UNKNOWN)))
     return of.groupBy("query_id").agg(F.when(F.min("v") == F.max("v"), F.min("v")).otherwise(MIXED).alias("value"))
 
 

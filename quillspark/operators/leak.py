@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import salted_join
+
 MAX_DF, MAX_ATTEMPTS = 100, 3
 
 
@@ -17,7 +19,7 @@ def weighted_overlap(pairs: DataFrame, key: list[str], query_terms: Column, sour
     base = pairs.select(*key, F.array_distinct(query_terms).alias("q"), F.coalesce(source_terms, F.array().cast("array<string>")).alias("s"))
     terms = base.select(*key, F.explode("q").alias("term"), F.lit(True).alias("__in"))
     held = base.select(*key, F.explode(F.array_distinct("s")).alias("term"), F.lit(True).alias("in_source"))
-    joined = terms.join(held, [*key, "term"], "left").join(idf.select("term", "idf"), "term", "left")
+    joined = salted_join(terms.join(held, [*key, "term"], "left"), idf.select("term", "idf"), ["term"], F.struct(*key), "left")
     shared = F.col("in_source") & F.col("idf").isNotNull()
     sums = joined.groupBy(*key).agg(
         F.coalesce(F.sum(F.when(shared, F.col("idf"))), F.lit(0.0)).alias("weight_shared"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import NO_SIGNAL, norm
-from ..runtime import materialize
+from ..runtime import materialize, salted_join
 from . import fusion, knn
 from . import postings as inv
 
@@ -111,8 +111,10 @@ def best_chunks(hits: DataFrame, bag: DataFrame, idf: DataFrame, chunks: DataFra
     mine = chunks.select("chunk_id", "song_id", "position", "text").join(wanted.select("song_id").distinct(), "song_id", "left_semi")
     held = mine.select("chunk_id", F.explode(F.array_distinct(tx.tokenize_words(F.col("text")))).alias("term"))
     weights = bag.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    pairs = wanted.join(mine.select("chunk_id", "song_id", "position"), "song_id")
-    gained = pairs.join(held, "chunk_id").join(weights, ["query_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("gain"))
+    # a song that most queries find is a hot key, and so are its chunks
+    pairs = salted_join(wanted, mine.select("chunk_id", "song_id", "position"), ["song_id"], F.col("query_id"))
+    asked = pairs.select("query_id", "chunk_id").join(weights, "query_id")
+    gained = salted_join(asked, held, ["chunk_id", "term"], F.col("query_id")).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("gain"))
     scored = pairs.join(gained, ["query_id", "chunk_id"], "left").na.fill(0.0, ["gain"])
     best = F.min(F.struct((-F.round("gain", DECIMALS)).alias("neg"), F.col("position").alias("position"), F.col("chunk_id").alias("chunk_id"))).alias("m")
     return scored.groupBy("query_id", "song_id").agg(best).select("query_id", "song_id", F.col("m.chunk_id").alias("best_chunk_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..runtime import materialize
 from ..schemas import REPLY, STRATA, THEME
 
 
@@ -45,7 +46,7 @@ def eval_set(spark: SparkSession, path: str, known_songs: DataFrame, strata: tup
         .when(F.exists("r.relevant_song_ids", lambda x: x.isNull()), F.lit("a relevant song id is null"))
         .when(F.col("r.stratum").isNotNull() & ~F.col("r.stratum").isin(*strata), F.concat(F.lit("unknown stratum "), F.col("r.stratum")))
     )
-    checked = r.select("file", "line", "r.*", problem.alias("problem")).drop("_bad").cache()
+    checked = materialize(r.select("file", "line", "r.*", problem.alias("problem")).drop("_bad"), "eval_set")
     ids = checked.where("problem is null").select("file", "line", F.explode("relevant_song_ids").alias("song_id"))
     absent = ids.join(known_songs.select("song_id"), "song_id", "left_anti").select("file", "line", F.concat(F.lit("no such song: "), F.col("song_id")).alias("problem"))
     first = checked.where("problem is not null").select("file", "line", "problem").unionByName(absent).orderBy("file", "line", "problem").limit(1).collect()
