@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -40,32 +40,44 @@ def n_docs_of_max_idf(max_idf: Column) -> Column:
 
 @dataclass
 class TfIdf:
-    """Fitted state: (term, df, idf) and one row of totals."""
+    """Fitted state: (term, df, idf), one row of totals, and the postings it was fitted on."""
 
     idf: DataFrame
     totals: DataFrame
+    postings: DataFrame | None = None
 
 
 def fit_tfidf(docs: DataFrame, doc: str, tokens: Column, max_features: int | None = None) -> TfIdf:
-    """Vocabulary with df and smooth idf; optionally only the terms of highest corpus frequency."""
-    post = postings(docs, doc, tokens)
+    """Vocabulary with df and smooth idf; optionally only the terms of highest corpus frequency.
+
+    The corpus is tokenised once; the written postings serve ``tfidf_vectors`` too.
+    """
+    post = materialize(postings(docs, doc, tokens), "postings")
     totals = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     if max_features is not None:
         terms = terms.orderBy(F.desc("cf"), "term").limit(max_features)
-    idf = terms.crossJoin(F.broadcast(totals)).select("term", "df", smooth_idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    return TfIdf(materialize(idf, "idf"), materialize(totals.crossJoin(idf.agg(F.avg("idf").alias("mean_idf"), F.count(F.lit(1)).alias("n_terms"))), "totals"))
+    idf = terms.crossJoin(F.broadcast(totals)).select("term", "df", smooth_idf(F.col("n_docs"), F.col("df")).alias("idf"), "n_docs")
+    idf = materialize(idf, "idf")
+    mean = idf.agg(F.avg("idf").alias("mean_idf"), F.count(F.lit(1)).alias("n_terms"), F.max("n_docs").alias("n_docs"))
+    # without any term the number of documents is still to be counted
+    counted = mean.select("mean_idf", "n_terms", "n_docs") if idf.take(1) else totals.crossJoin(mean.drop("n_docs"))
+    return TfIdf(idf.drop("n_docs"), materialize(counted.select("n_docs", "mean_idf", "n_terms"), "totals"), post)
 
 
-def tfidf_vectors(docs: DataFrame, doc: str, tokens: Column, model: TfIdf) -> DataFrame:
+def tfidf_vectors(docs: DataFrame | None, doc: str, tokens: Column, model: TfIdf) -> DataFrame:
     """(doc, term, weight): raw counts times idf, rows of unit length; unknown terms are left out.
 
-    A document without any known term has no rows (see ``without_signal``).
+    ``docs`` None encodes the documents the model was fitted on, from its
+    postings.  A document without any known term has no rows (see
+    ``without_signal``).
     """
-    post = salted_join(postings(docs, doc, tokens), model.idf.select("term", "idf"), ["term"], F.col(doc))
+    post = model.postings if docs is None else postings(docs, doc, tokens)
+    post = salted_join(post, model.idf.select("term", "idf"), ["term"], F.col(doc))
     weighed = post.select(doc, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighed.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norms, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # the terms of one document are never more than its text
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
+    return weighed.select(doc, "term", (F.col("w") / norm).alias("weight"))
 
 
 def without_signal(docs: DataFrame, doc: str, vectors: DataFrame) -> DataFrame:
@@ -100,15 +112,18 @@ def fit_bm25(docs: DataFrame, doc: str, tokens: Column) -> Bm25:
 
     Negative idf values become a quarter of the mean idf, the mean taken before.
     """
-    lengths = docs.select(doc, F.coalesce(F.size(tokens), F.lit(0)).alias("dl")).withColumn("dl", F.greatest("dl", F.lit(0)))
-    post = materialize(postings(docs, doc, tokens), "postings")
-    size = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    # a document without any token has one row with a null term; one shuffle by document serves both steps
+    each = docs.select(doc, F.explode_outer(tokens).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    dl = F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).over(Window.partitionBy(doc)), F.lit(0))
+    table = materialize(each.withColumn("dl", dl), "postings")
+    size = table.groupBy(doc).agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    post = table.where("term is not null")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(size)).select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     raw = materialize(raw, "bm25_idf")
     stats = materialize(size.crossJoin(raw.agg(F.avg("raw").alias("mean_idf"))), "bm25_stats")
     idf = raw.crossJoin(F.broadcast(stats)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25(post.join(lengths, doc), idf, stats)
+    return Bm25(post, idf, stats)
 
 
 def query_bag(queries: DataFrame, query: str, tokens: Column) -> DataFrame:

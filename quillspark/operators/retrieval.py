@@ -45,7 +45,7 @@ def dense_sparse_search(queries: DataFrame, chunks: DataFrame, k: int = 50) -> t
     """
     terms = tx.tfidf_terms(F.col("text"))
     model = inv.fit_tfidf(chunks, "chunk_id", terms)
-    corpus = inv.tfidf_vectors(chunks, "chunk_id", terms, model)
+    corpus = inv.tfidf_vectors(None, "chunk_id", terms, model)
     asked = inv.tfidf_vectors(queries.where(~is_blank(F.col("query"))), "query_id", tx.tfidf_terms(F.col("query")), model)
     asked = materialize(asked, "query_vectors")
     scored = inv.sparse_scores(asked, "query_id", corpus, "chunk_id").withColumn("score", F.round("score", DECIMALS))
@@ -110,11 +110,12 @@ def best_chunks(hits: DataFrame, bag: DataFrame, idf: DataFrame, chunks: DataFra
     wanted = hits.select("query_id", "song_id")
     mine = chunks.select("chunk_id", "song_id", "position", "text").join(wanted.select("song_id").distinct(), "song_id", "left_semi")
     held = mine.select("chunk_id", F.explode(F.array_distinct(tx.tokenize_words(F.col("text")))).alias("term"))
+    held = held.join(bag.select("term").distinct(), "term", "left_semi")
     weights = bag.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     # a song that most queries find is a hot key, and so are its chunks
     pairs = salted_join(wanted, mine.select("chunk_id", "song_id", "position"), ["song_id"], F.col("query_id"))
     asked = pairs.select("query_id", "chunk_id").join(weights, "query_id")
-    gained = salted_join(asked, held, ["chunk_id", "term"], F.col("query_id")).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("gain"))
+    gained = asked.join(held, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("gain"))
     scored = pairs.join(gained, ["query_id", "chunk_id"], "left").na.fill(0.0, ["gain"])
     best = F.min(F.struct((-F.round("gain", DECIMALS)).alias("neg"), F.col("position").alias("position"), F.col("chunk_id").alias("chunk_id"))).alias("m")
     return scored.groupBy("query_id", "song_id").agg(best).select("query_id", "song_id", F.col("m.chunk_id").alias("best_chunk_id"))

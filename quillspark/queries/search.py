@@ -36,13 +36,13 @@ def tfidf_max_features(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CHUNKS}, {TFIDF} SELECT chunk_id, term, round(weight, 6) AS weight FROM cvec")
 def tfidf_vectors(spark: SparkSession, d: str) -> DataFrame:
     corpus, model = _terms(spark, d)
-    return inv.tfidf_vectors(corpus, "chunk_id", tx.tfidf_terms(F.col("text")), model).select("chunk_id", "term", F.round("weight", 6).alias("weight"))
+    return inv.tfidf_vectors(None, "chunk_id", tx.tfidf_terms(F.col("text")), model).select("chunk_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {CHUNKS}, {TFIDF} SELECT chunk_id FROM chunks1 WHERE chunk_id NOT IN (SELECT chunk_id FROM cvec)")
 def no_signal_chunks(spark: SparkSession, d: str) -> DataFrame:
     corpus, model = _terms(spark, d)
-    return inv.without_signal(corpus, "chunk_id", inv.tfidf_vectors(corpus, "chunk_id", tx.tfidf_terms(F.col("text")), model))
+    return inv.without_signal(corpus, "chunk_id", inv.tfidf_vectors(None, "chunk_id", tx.tfidf_terms(F.col("text")), model))
 
 
 @query(
@@ -51,7 +51,7 @@ def no_signal_chunks(spark: SparkSession, d: str) -> DataFrame:
 )
 def tfidf_report(spark: SparkSession, d: str) -> DataFrame:
     corpus, model = _terms(spark, d)
-    v = inv.tfidf_vectors(corpus, "chunk_id", tx.tfidf_terms(F.col("text")), model)
+    v = inv.tfidf_vectors(None, "chunk_id", tx.tfidf_terms(F.col("text")), model)
     top = model.idf.agg(F.max("idf").alias("m")).select(F.round("m", 6).alias("max_idf"), inv.n_docs_of_max_idf(F.col("m")).alias("implied_docs"))
     sizes = model.totals.select(F.col("n_docs").alias("n_chunks"), "n_terms")
     return sizes.crossJoin(v.agg(F.count(F.lit(1)).alias("n_nonzero"), F.count_distinct("chunk_id").alias("n_vectors"))).crossJoin(top)
@@ -100,7 +100,7 @@ def dense_search(spark: SparkSession, d: str) -> DataFrame:
 def sparse_knn(spark: SparkSession, d: str) -> DataFrame:
     corpus, model = _terms(spark, d)
     q = inv.tfidf_vectors(searches(spark, d), "query_id", tx.tfidf_terms(F.col("query")), model)
-    v = inv.tfidf_vectors(corpus, "chunk_id", tx.tfidf_terms(F.col("text")), model)
+    v = inv.tfidf_vectors(None, "chunk_id", tx.tfidf_terms(F.col("text")), model)
     scored = inv.sparse_scores(q, "query_id", v, "chunk_id").withColumn("score", F.round("score", 6)).where("score > 0")
     return fusion.top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], 10)
 

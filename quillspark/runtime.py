@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Copies of the small side per key in a salted join.
-SALTS = 16
+SALTS = 8
 
 
 def local_session(name: str = "quillspark", cores: str | int = "*", **conf: str) -> SparkSession:
