@@ -12,10 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..runtime import materialize, salted_join
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Rows of query terms (about 50 bytes each) that are broadcast at most.
+BROADCAST_TERMS = 200_000
 
 
 def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
@@ -92,7 +93,15 @@ def sparse_scores(queries: DataFrame, query: str, corpus: DataFrame, doc: str) -
 
 
 def _meet(queries: DataFrame, corpus: DataFrame, query: str, doc: str, salts: int = 16) -> DataFrame:
-    """Join on the term; the postings of a hot term are parted by document, the query side is copied."""
+    """Join of query terms and postings on the term.
+
+    The query side is written and counted: up to ``BROADCAST_TERMS`` rows it
+    is broadcast and the postings stay where they are; beyond that the
+    postings of a hot term are parted by document and the query side copied.
+    """
+    queries = materialize(queries, "query_terms")
+    if queries.count() <= BROADCAST_TERMS:
+        return corpus.join(F.broadcast(queries), "term")
     left = corpus.withColumn("__salt", F.pmod(F.xxhash64(doc), F.lit(salts)).cast("int"))
     right = queries.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, ["term", "__salt"]).drop("__salt")

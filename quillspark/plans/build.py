@@ -7,6 +7,7 @@ changed, which its own configuration or any stage before it does.
 
 from __future__ import annotations
 
+import shutil
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -52,8 +53,6 @@ def _stage(final: Path, stage_config: dict, input_hash: str, force: bool, write:
     if force or not cache.is_fresh(final, key):
         building = final.parent / f".{final.name}.building"
         final.parent.mkdir(parents=True, exist_ok=True)
-        import shutil
-
         shutil.rmtree(building, ignore_errors=True)
         extra = write(str(building))
         cache.meta_path(final).unlink(missing_ok=True)
