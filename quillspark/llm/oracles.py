@@ -1,7 +1,8 @@
 """SQL for the queries that SQL can state on whole tables.
 
-Problem 3 has no entry beyond the latest scores, 7 to 9 none: tokens, packing
-and sentences are tested against libraries, invariants and written cases.
+Problem 3 is stated in its simplest form: with weights of one over the ideal,
+the vector norm cancels out.  Problems 7 to 9 have none: tokens, packing and
+sentences are tested against libraries, invariants and written cases.
 """
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -27,6 +28,24 @@ rep AS (SELECT plan_id, dimension, lower(trim(category)) AS category, total, coa
 P2_REPORT = f"WITH {_PEOPLE} SELECT plan_id, dimension, category, total, available, wanted, least(wanted, available) AS taken, greatest(wanted - available, 0) AS deficit FROM rep"
 P2_FOUND = f"WITH {_PEOPLE} SELECT plan_id, category FROM rep WHERE available < wanted"
 
+_CLOSENESS = """latest AS (SELECT query_id, arm, song_id, score FROM (
+    SELECT query_id, arm, song_id, CASE WHEN NOT isnan(score) THEN score END AS score,
+           row_number() OVER (PARTITION BY query_id, arm, song_id ORDER BY scored_at DESC NULLS LAST, CASE WHEN NOT isnan(score) THEN score END DESC NULLS LAST) AS rn
+    FROM hits) WHERE rn = 1 AND score IS NOT NULL),
+x AS (SELECT query_id, arm, song_id, CASE WHEN higher_is_better = false THEN -score ELSE score END AS x FROM latest LEFT JOIN retrieval_configs USING (arm)),
+b AS (SELECT query_id, arm, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3 FROM x GROUP BY ALL),
+h AS (SELECT query_id, arm, song_id, least(greatest(x, q1 - (q3 - q1) * 1.5), q3 + (q3 - q1) * 1.5) AS x FROM x JOIN b USING (query_id, arm)),
+t AS (SELECT *, min(x) OVER (PARTITION BY query_id, arm) AS worst, max(x) OVER (PARTITION BY query_id, arm) AS best FROM h),
+z AS (SELECT query_id, arm, song_id, best > worst AS parts, CASE WHEN best > worst THEN (x - worst) / (best - worst) ELSE 0 END AS z FROM t),
+w AS (SELECT query_id, count(DISTINCT arm) FILTER (parts) AS whole FROM z GROUP BY 1),
+s AS (SELECT query_id, song_id, count(*) AS n_arms, sum(CASE WHEN parts THEN (1 - z) * (1 - z) - 1 ELSE 0 END) AS nearer, sum(z * z) AS from_worst FROM z GROUP BY ALL),
+d AS (SELECT query_id, song_id, n_arms, sqrt(greatest(round(whole + nearer, 12), 0)) AS d_best, sqrt(from_worst) AS d_worst FROM s JOIN w USING (query_id)),
+c AS (SELECT query_id, song_id, n_arms, round(CASE WHEN d_best + d_worst > 0 THEN d_worst / (d_best + d_worst) ELSE 0 END, 9) AS closeness FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, song_id) AS rank FROM c)"""
+
+P3_FOUND = f"WITH {_CLOSENESS} SELECT query_id, song_id FROM r WHERE rank = 1"
+P3_RANKING = f"WITH {_CLOSENESS} SELECT query_id, song_id, n_arms, round(closeness, 6) AS closeness, rank FROM r"
+
 P4 = r"""WITH c AS (SELECT chunk_id, max(text) AS text FROM chunks GROUP BY chunk_id),
 t AS (SELECT chunk_id, regexp_replace(text, '\r\n|\r', chr(10), 'g') AS x FROM c WHERE len(regexp_extract_all(text, '\S+')) > 120),
 longest AS (SELECT chunk_id, list_max(list_transform(string_split(regexp_replace(x, '\n\s*\n', chr(1), 'g'), chr(1)), lambda p: len(regexp_extract_all(p, '\S+')))) AS paragraph,
@@ -56,6 +75,8 @@ ORACLES = {
     "p1_found": P1,
     "p2_found": P2_FOUND,
     "p2_report": P2_REPORT,
+    "p3_found": P3_FOUND,
+    "p3_ranking": P3_RANKING,
     "p4_found": P4,
     "p5_found": P5,
     "p6_found": P6_FOUND,

@@ -53,7 +53,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.full_ranking(_closeness(spark, d))
+    return ranking.full_ranking(_closeness(spark, d)).withColumn("closeness", F.round("closeness", 6))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -65,6 +65,7 @@ _LINE = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85  ])[ \t]*")
 _STRUCTURE = re.compile(rf"[{re.escape(_TERMINATORS)}]+|[“”„«»()\[\]{{}}「」『』（）【】《》〈〉\"]|(?<=[ก-๛])\s+")
 _NAMED = re.compile(r"[^\W\d_]+\s+&\s+\w")
 _NEXT_WORDS = re.compile(r"[^\W\d_][\w'’-]*")
+_UNSPACED = re.compile(r"[々-ヿ㐀-鿿豈-﫿ｦ-ﾟ」』）”》〉\U00020000-\U0003ffff]")
 _ACRONYM = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
 
 
@@ -238,7 +239,8 @@ class Automaton:
             return True
         mark = text[a:b]
         c = text[s]
-        wide = bool(_FULL_WIDTH.intersection(mark)) or (mark[-1] == "…" and unicodedata.category(c) == "Lo" and s == e)
+        # scripts without spaces need none after the mark
+        wide = bool(_FULL_WIDTH.intersection(mark)) or (mark[-1] == "…" and bool(_UNSPACED.match(text[a - 1 : a]) or _UNSPACED.match(c)))
         if s == e and not wide:
             return False
         if c in _GO_ON:

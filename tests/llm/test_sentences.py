@@ -18,8 +18,8 @@ CASES = {
     "thai": ["ท่อนฮุกยาว131.1นาที", "ไม่มีใครจำทำนองได้เลย", "เงาหายไปไหน"],
 }
 TIGHT = {
-    "chinese": ["“再来一遍！”她在门口喊道。", "谁还记得？", "他说：「不要把灯关掉。」", "第56轨长67.6分钟。", "鼓声停了……", "没有人。"],
-    "japanese": ["「もう一回！」と彼女は叫んだ。", "「静かにして。」", "窓を返して！", "ドラムが止まった……", "庭だった。"],
+    "chinese": ["“再来一遍！”她在门口喊道。", "谁还记得？", "他说：「不要把灯关掉。」", "第56轨长67.6分钟。", "鼓声停了……", "没有人。", "听上去像窗户……", "“河流！”他们一起唱。", "鼓声停了……", "24番。"],
+    "japanese": ["「もう一回！」と彼女は叫んだ。", "「静かにして。」", "窓を返して！", "ドラムが止まった……", "庭だった。", "ように聞こえる……", "「庭！」とみんなで歌った。", "ように聞こえる……", "24番の歌詞。"],
 }
 
 
