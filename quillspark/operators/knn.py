@@ -18,6 +18,9 @@ ITEM_BLOCK = 1024
 #: Query blocks that are broadcast at most.
 BROADCAST_BLOCKS = 64
 DECIMALS = 6
+#: Bands of the approximate search and signs in each: nine tenths of the first ten neighbours are met even where
+#: the tenth has an inner product of only 0.27 (64 dimensions), at the price of every second item as a candidate.
+BITS, BANDS = 8, 200
 
 
 def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
@@ -64,16 +67,17 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, query: str =
     return best.select(F.col("q").alias(query), F.col("item").alias(item), "score", "rank")
 
 
-def hyperplane_bands(vectors: DataFrame, item: str, vector: str, *, dim: int, bits: int = 8, bands: int = 24, seed: int = 0) -> DataFrame:
+def hyperplane_bands(vectors: DataFrame, item: str, vector: str, *, dim: int, bits: int = BITS, bands: int = BANDS, seed: int = 0) -> DataFrame:
     """(item, band, key): signs against random hyperplanes, in bands."""
     planes = np.random.default_rng(seed).standard_normal((dim, bits * bands))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = 1 << np.arange(bits)
         for pdf in batches:
-            if len(pdf):
-                signs = (np.stack(pdf.v) @ planes > 0).reshape(len(pdf), bands, bits)
-                yield pd.DataFrame({"item": pdf.item.values, "keys": list((signs @ weights).astype(np.int32))})
+            for at in range(0, len(pdf), ITEM_BLOCK):
+                part = pdf.iloc[at : at + ITEM_BLOCK]
+                signs = (np.stack(part.v) @ planes > 0).reshape(len(part), bands, bits)
+                yield pd.DataFrame({"item": part.item.values, "keys": list((signs @ weights).astype(np.int32))})
 
     keyed = vectors.where(F.col(vector).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(vector).alias("v")).mapInPandas(run, "item string, keys array<int>")
     return keyed.select("item", F.posexplode("keys").alias("band", "key"))

@@ -13,6 +13,7 @@ from quillspark.operators import evaluation, fusion, ingest, knn, leak, pooling,
 from quillspark.operators import embedders as emb
 from quillspark.operators import postings as inv
 from quillspark.functions import text as tx
+from quillspark.queries import search
 from quillspark.runtime import ranked, salted_join
 
 
@@ -162,6 +163,14 @@ def test_approximate_neighbours_recall(spark):
     assert o[0] / o[1] >= 0.9
 
 
+def test_registered_approximate_search_recall(spark, tables):
+    """The defaults, on the 64-dimensional tables, with and without the query's own vector."""
+    for d in (tables, tables.replace("sf0.001", "sf0.01"), tables.replace("sf0.001", "sf0.1")):
+        r = search.approximate_overlap(spark, d).first()
+        assert r.n_exact >= 250 and r.recall >= 0.9
+        assert (r.n_shared - r.n_exact / 10) / (r.n_exact * 0.9) >= 0.9
+
+
 def test_dense_search_statuses(spark):
     _, df = vectors(spark)
     q = spark.createDataFrame([("ok", [1.0] * 16), ("zero", [0.0] * 16), ("none", None)], "query_id string, embedding array<float>")
