@@ -211,8 +211,14 @@ def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return across.unionByName(copies)
 
 
+def with_all_records(members: DataFrame, records: DataFrame, record_id: str) -> DataFrame:
+    """The members and every other record_id of ``records``, whose text is null, empty or short, as its own rep."""
+    ids = records.select(F.col(record_id).cast("string").alias("record_id")).where("record_id is not null").distinct()
+    return ids.join(members, "record_id", "left").select("record_id", F.coalesce("rep", "record_id").alias("rep"))
+
+
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per record: record_id, rep, group_id, n_links.
+    """One row per member: record_id, rep, group_id, n_links.
 
     group_id is the smallest record_id that links lead to, n_links the number
     of other texts the record's text is linked to.  Labels spread along links

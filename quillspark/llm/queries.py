@@ -70,7 +70,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    members, links = near_duplicates.similar_classes(table(spark, d, "songs"), "song_id", "text_raw", SONGS_ALIKE)
+    songs = table(spark, d, "songs")
+    members, links = near_duplicates.similar_classes(songs, "song_id", "text_raw", SONGS_ALIKE)
+    members = near_duplicates.with_all_records(members, songs, "song_id")
     return near_duplicates.groups(members, links).withColumnRenamed("record_id", "song_id")
 
 

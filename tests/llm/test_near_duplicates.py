@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from quillspark.llm import near_duplicates as n
+from quillspark.llm import queries
 
 HOW = n.Similarity(run=3, threshold=0.5, min_words=10, rows=5, bands=204)
 SONGS = "song_id string, text_raw string, a string, rep string, id string, key string"
@@ -74,6 +75,18 @@ def test_edge_rows(spark):
     assert {tuple(p) for p in n.expand_pairs(members, links).collect()} == {("x", "y")}
 
 
+def test_groups_have_every_record(spark, tables):
+    ten = "a b c d e f g h i j"
+    rows = [("null", None), ("empty", ""), ("tag", "[Verse]"), ("nine", "a b c d e f g h i"), ("x", ten), ("y", ten + "!"), ("y", ten + "!"), (None, ten)]
+    members, links = run(spark, rows)
+    out = n.groups(n.with_all_records(members, frame(spark, rows), "song_id"), links).collect()
+    alone = [(i, i, i, 0) for i in ("empty", "nine", "null", "tag")]
+    assert sorted(tuple(x) for x in out) == [*alone, ("x", "x", "x", 0), ("y", "x", "x", 0)]
+    ids = spark.read.parquet(f"{tables}/songs.parquet").select("song_id").where("song_id is not null").distinct()
+    grouped = queries.p5_groups(spark, tables)
+    assert grouped.count() == grouped.join(ids, "song_id").count() == ids.count()
+
+
 def test_empty_table(spark):
     members, links = run(spark, [])
     assert n.expand_pairs(members, links).count() == n.groups(members, links).count() == 0
