@@ -111,7 +111,7 @@ def _pieces(batches: Iterator[pd.DataFrame], limit: int, overlap: int) -> Iterat
         out = []
         for (row, starts, ends, k), cuts in zip(kept, all_cuts(tables)):
             for i in range(len(cuts) - 1):
-                first = cuts[i] - overlap if i else 0
+                first = max(0, cuts[i] - overlap)
                 text = row.text[starts[first] : ends[cuts[i + 1] - 1]]
                 out.append((row.chunk_id, row.song_id, row.section, row.split_by, True, LEVELS[k], i, len(cuts) - 1, int(cuts[i + 1] - first), text))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
@@ -124,7 +124,8 @@ def split_oversized(chunks: DataFrame, *, limit: int = LIMIT, overlap: int = OVE
     (true), cut_at (the coarsest level at which cutting everywhere fits),
     piece (from 0), n_pieces, n_words and the text, with its own white space.
     Each piece after the first starts with the last ``overlap`` words before
-    its cut; they count within ``limit``.  Repeated rows of a chunk_id count
+    its cut, or all of them where the cut has fewer before it; they count
+    within ``limit``.  Repeated rows of a chunk_id count
     once (the largest row); null, blank and short texts have no pieces.
     Needs ``0 <= overlap < limit``.
     """

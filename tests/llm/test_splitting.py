@@ -71,6 +71,27 @@ def test_pieces_cover_the_text(spark):
         assert joined == words
 
 
+def test_first_cut_before_the_overlap(spark):
+    w = [f"w{i}" for i in range(123)]
+    w[64] += "."
+    texts = {
+        "line": " ".join(w[:5]) + "\n" + " ".join(w[5:]),
+        "paragraph": " ".join(w[:14]) + "\n\n" + " ".join(w[14:]),
+        "sentence": w[0] + ". " + " ".join(w[1:64] + w[65:]),
+        "twice": " ".join(w[:4]) + "\n" + " ".join(w[4:9]) + "\n" + " ".join(w[9:]) + "\n" + " ".join(w[:112]),
+    }
+    got = run(spark, texts.items())
+    assert set(got) == set(texts)
+    for name, pieces in got.items():
+        words, at = texts[name].split(), 0
+        for i, p in enumerate(pieces):
+            own = p.text.split()
+            repeated = min(15, at)
+            assert 0 < len(own) == p.n_words <= 120 and own == words[at - repeated : at - repeated + len(own)], (name, i)
+            at += len(own) - repeated
+        assert at == len(words) and len(pieces) > 1
+
+
 def test_edge_rows(spark):
     rows = [("null", None), ("empty", ""), ("blank", " \n" * 500), ("short", "a b"), (None, "w " * 200), ("twice", "w " * 130), ("twice", "w " * 130)]
     got = run(spark, rows)
