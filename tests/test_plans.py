@@ -173,3 +173,18 @@ def test_stream_equals_batch(spark, tmp_path):
     counts = stream.section_counts(stream.read_songs(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     counts.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 500 + 25
+
+
+def test_stream_keeps_late_songs_and_no_song_twice(spark, tmp_path):
+    """Three batches, the later ones a month behind or ahead of the first."""
+    rows = src.demo_songs()(spark)
+    for n, (first, last, day) in enumerate((("demo00", "demo10", "2026-03-10"), ("demo08", "demo15", "2026-02-01"), ("demo00", "demo99", "2026-04-20"))):
+        part = rows.where(f"song_id >= '{first}' and song_id < '{last}'").withColumn("ingested_at", F.lit(day).cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.write_corpus(stream.read_songs(spark, str(tmp_path / "in"), 1), str(tmp_path / "out")).awaitTermination()
+        assert len(list((tmp_path / "out/songs").glob("batch=*"))) == n + 1
+    songs = spark.read.parquet(str(tmp_path / "out/songs"))
+    assert songs.count() == songs.select("song_id").distinct().count() == rows.count()
+    assert songs.where("batch = 1").count() > 0 and songs.where("batch = 2").count() > 0
+    chunks = spark.read.parquet(str(tmp_path / "out/chunks"))
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() == 500
