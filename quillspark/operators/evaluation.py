@@ -44,18 +44,19 @@ def query_labels(queries: DataFrame, labels: DataFrame, label: str, relevant: st
     return of.groupBy("query_id").agg(F.when(F.min("v") == F.max("v"), F.min("v")).otherwise(MIXED).alias("value"))
 
 
-def slice_table(metrics: DataFrame, dimensions: dict[str, DataFrame], *, intervals: bool = False, n_boot: int = 10_000) -> DataFrame:
-    """(dimension, value, n, metric, mean[, ci_lo, ci_hi]): overall, then by each dimension's labels.
+def slice_table(metrics: DataFrame, dimensions: dict[str, DataFrame], *, intervals: bool = False, n_boot: int = 10_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, dimension, value, n, metric, mean[, ci_lo, ci_hi]): overall, then by each dimension's labels.
 
     ``dimensions`` maps a name to (query_id, value); a query it lacks counts as '(none)'.
+    ``by`` names columns of ``metrics`` that part every slice, as the arm does.
     """
-    long = metrics.select("query_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("x")) for m in METRICS])).alias("m")).select("query_id", "m.*")
-    parts = [long.select(F.lit("overall").alias("dimension"), F.lit("all").alias("value"), "query_id", "metric", "x")]
+    long = metrics.select(*by, "query_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("x")) for m in METRICS])).alias("m")).select(*by, "query_id", "m.*")
+    parts = [long.select(*by, F.lit("overall").alias("dimension"), F.lit("all").alias("value"), "query_id", "metric", "x")]
     for name, labels in dimensions.items():
         named = long.join(labels.select("query_id", "value"), "query_id", "left")
-        parts.append(named.select(F.lit(name).alias("dimension"), F.coalesce("value", F.lit(NONE)).alias("value"), "query_id", "metric", "x"))
+        parts.append(named.select(*by, F.lit(name).alias("dimension"), F.coalesce("value", F.lit(NONE)).alias("value"), "query_id", "metric", "x"))
     rows = reduce(DataFrame.unionByName, parts)
-    keys = ["dimension", "value", "metric"]
+    keys = [*by, "dimension", "value", "metric"]
     if intervals:
         return mean_ci(rows, keys, "x", "query_id", n_boot=n_boot)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))

@@ -82,6 +82,7 @@ def _slices(spark: SparkSession, d: str, metrics: DataFrame, **how) -> DataFrame
     return ev.slice_table(metrics, dims, **how)
 
 
+_ALL_LONG = " UNION ALL ".join(f"SELECT query_id, arm, '{m}' AS metric, \"{m}\" AS x FROM m" for m in METRICS)
 _LONG = " UNION ALL ".join(f"SELECT query_id, '{m}' AS metric, \"{m}\" AS x FROM m WHERE arm = '{_ARM}'" for m in METRICS)
 
 
@@ -95,12 +96,26 @@ d AS (SELECT 'overall' AS dimension, 'all' AS value, metric, x FROM long
 SELECT dimension, value, metric, count(*) AS n, round(avg(x), 6) AS mean FROM d GROUP BY ALL"""
 )
 def eval_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The slices of the arm its SQL names; ``arm_slices`` has all arms."""
     return _slices(spark, d, _one_arm(spark, d)).withColumn("mean", F.round("mean", 6))
 
 
+@query(
+    f"""WITH {_OUT}, {SONGS}, {CHUNKS}, {_SPLIT}, long AS ({_ALL_LONG}),
+d AS (SELECT arm, 'overall' AS dimension, 'all' AS value, metric, x FROM long
+    UNION ALL SELECT arm, 'split_by', coalesce(value, '(none)'), metric, x FROM long LEFT JOIN ql USING (query_id)
+    UNION ALL SELECT arm, 'is_translation', coalesce(value, '(none)'), metric, x FROM long LEFT JOIN tl USING (query_id)
+    UNION ALL SELECT arm, 'query_type', coalesce(query_type, '(none)'), metric, x FROM long LEFT JOIN evals1 USING (query_id)
+    UNION ALL SELECT arm, 'stratum', coalesce(lower(trim(stratum)), '(none)'), metric, x FROM long LEFT JOIN evals1 USING (query_id))
+SELECT arm, dimension, value, metric, count(*) AS n, round(avg(x), 6) AS mean FROM d GROUP BY ALL"""
+)
+def arm_slices(spark: SparkSession, d: str) -> DataFrame:
+    return _slices(spark, d, _arm_metrics(spark, d), by=("arm",)).withColumn("mean", F.round("mean", 6))
+
+
 @query()
 def eval_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return _slices(spark, d, _one_arm(spark, d), intervals=True, n_boot=1000)
+    return _slices(spark, d, _arm_metrics(spark, d), intervals=True, by=("arm",))
 
 
 _LEAK = rf"""qt AS (SELECT query_id, source_chunk_id, unnest(list_distinct(regexp_extract_all(lower(query), {TERMS}))) AS term FROM evals1 WHERE source_chunk_id IS NOT NULL AND query IS NOT NULL),

@@ -13,6 +13,7 @@ from quillspark.operators import evaluation, fusion, ingest, knn, leak, pooling,
 from quillspark.operators import embedders as emb
 from quillspark.operators import postings as inv
 from quillspark.functions import text as tx
+from quillspark.queries import evaluation as queries
 from quillspark.queries import search
 from quillspark.runtime import ranked, salted_join
 
@@ -223,6 +224,23 @@ def test_bootstrap():
         m.bootstrap_mean(np.array([]))
 
 
+def test_intervals_of_all_arms(spark, tables):
+    arms = {r.arm for r in queries.arm_comparison(spark, tables).collect()}
+    rows = queries.eval_intervals(spark, tables).collect()
+    slices = queries.arm_slices(spark, tables).collect()
+    assert len(arms) == 6 and {r.arm for r in rows} == arms
+    key = lambda r: (r.arm, r.dimension, r.value, r.metric, r.n)
+    assert sorted(map(key, rows)) == sorted(map(key, slices))
+    values = {}
+    for r in queries.query_metrics(spark, tables).orderBy("query_id").collect():
+        values.setdefault(r.arm, []).append(r.MRR)
+    for r in rows:
+        if (r.dimension, r.metric) == ("overall", "MRR"):
+            x = np.array(values[r.arm])
+            means = x[np.random.default_rng(0).integers(0, len(x), size=(10_000, len(x)))].mean(axis=1)
+            assert (r.ci_lo, r.ci_hi) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-5)
+
+
 def test_labels_and_slices(spark):
     songs = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "song_id string")
     chunks = spark.createDataFrame([("s1", "none", True), ("s1", "none", None), ("s2", "none", False), ("s2", "blank_line", False)], "song_id string, split_by string, force_split boolean")
