@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Copies of the small side per key in a salted join.
 SALTS = 8
+#: A key is hot if it has more rows than this and than its share of all rows.
+HOT_ROWS = 100_000
+HOT_SHARE = 256
 
 
 def local_session(name: str = "quillspark", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -64,6 +67,17 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again."""
+    for df in written:
+        spark = df.sparkSession
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/quillspark/" in folder:
+                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                where.getFileSystem(conf).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -81,6 +95,31 @@ def salted_join(big: DataFrame, unique: DataFrame, on: list[str], spread: Column
     return left.join(right, [*on, salt], how).drop(salt)
 
 
+#: Rows of a narrow table that are broadcast at most, after counting them.
+BROADCAST_ROWS = 50_000
+
+
+def counted_join(big: DataFrame, unique: DataFrame, on: list[str], spread: Column, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Equi-join with a table of one narrow row per key: broadcast if it counts at most ``most`` rows, else salted.
+
+    ``unique`` is counted here, so it should be small or written.
+    """
+    if unique.limit(most + 1).count() <= most:
+        return big.join(F.broadcast(unique), on, how)
+    return salted_join(big, unique, on, spread, how)
+
+
+def hot_keys(df: DataFrame, on: list[str], *, rows: int = HOT_ROWS) -> DataFrame:
+    """The keys of more than ``rows`` rows and more than one in ``HOT_SHARE`` of all rows, nulls aside.
+
+    At most ``HOT_SHARE`` rows whatever the data, so the result may be
+    broadcast.  Costs a scan of the key columns, aggregated before it is shuffled.
+    """
+    least = max(rows, df.count() // HOT_SHARE)
+    counts = df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.where(F.col("__n") > least).select(*on)
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], as_name: str = "rank", name: str = "ranked") -> DataFrame:
     """1-based row number within each group, without ever holding a group in one task.
 
