@@ -1,7 +1,6 @@
 """SQL for the queries that SQL can state on whole tables.
 
-Problem 3 is stated in its simplest form: with weights of one over the ideal,
-the vector norm cancels out.  Problems 7 to 9 have none: tokens, packing and
+Problems 7 to 9 have none: tokens, packing and
 sentences are tested against libraries, invariants and written cases.
 """
 
@@ -36,9 +35,11 @@ x AS (SELECT query_id, arm, song_id, CASE WHEN higher_is_better = false THEN -sc
 b AS (SELECT query_id, arm, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3 FROM x GROUP BY ALL),
 h AS (SELECT query_id, arm, song_id, least(greatest(x, q1 - (q3 - q1) * 1.5), q3 + (q3 - q1) * 1.5) AS x FROM x JOIN b USING (query_id, arm)),
 t AS (SELECT *, min(x) OVER (PARTITION BY query_id, arm) AS worst, max(x) OVER (PARTITION BY query_id, arm) AS best FROM h),
-z AS (SELECT query_id, arm, song_id, best > worst AS parts, CASE WHEN best > worst THEN (x - worst) / (best - worst) ELSE 0 END AS z FROM t),
-w AS (SELECT query_id, count(DISTINCT arm) FILTER (parts) AS whole FROM z GROUP BY 1),
-s AS (SELECT query_id, song_id, count(*) AS n_arms, sum(CASE WHEN parts THEN (1 - z) * (1 - z) - 1 ELSE 0 END) AS nearer, sum(z * z) AS from_worst FROM z GROUP BY ALL),
+z AS (SELECT query_id, arm, song_id, CASE WHEN best > worst THEN (x - worst) / (best - worst) ELSE 0 END AS z FROM t),
+nm AS (SELECT query_id, arm, CASE WHEN sum(z * z) > 0 THEN 1 / sqrt(sum(z * z)) ELSE 0 END AS ideal FROM z GROUP BY ALL),
+w AS (SELECT query_id, sum(ideal * ideal) AS whole FROM nm GROUP BY 1),
+s AS (SELECT query_id, song_id, count(*) AS n_arms, sum((ideal - z * ideal) * (ideal - z * ideal) - ideal * ideal) AS nearer, sum(z * ideal * z * ideal) AS from_worst
+    FROM z JOIN nm USING (query_id, arm) GROUP BY ALL),
 d AS (SELECT query_id, song_id, n_arms, sqrt(greatest(round(whole + nearer, 12), 0)) AS d_best, sqrt(from_worst) AS d_worst FROM s JOIN w USING (query_id)),
 c AS (SELECT query_id, song_id, n_arms, round(CASE WHEN d_best + d_worst > 0 THEN d_worst / (d_best + d_worst) ELSE 0 END, 9) AS closeness FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, song_id) AS rank FROM c)"""

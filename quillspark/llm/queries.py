@@ -45,7 +45,7 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _closeness(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.ideal_point_scores(ranking.latest_scores(table(spark, d, "hits"), table(spark, d, "retrieval_configs")))
+    return ranking.rank_hits(table(spark, d, "hits"), table(spark, d, "retrieval_configs"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -73,3 +73,30 @@ def test_closeness_by_hand(spark):
 def test_one_query_with_most_rows(spark):
     rows = [(1, "cos", f"s{i:04d}", i / 1000, 1) for i in range(1000)] + [(2, "cos", "x", 1.0, 1)]
     assert order(spark, rows) == [f"s{i:04d}" for i in range(999, -1, -1)]
+
+
+def test_hot_queries_give_the_same(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(q, a, f"s{i}", rng.choice([rng.gauss(0, 1), 0.5, rng.gauss(0, 40)]), 1) for q in (1, 2) for a, _, _ in ARMS for i in range(rng.randint(1, 60))]
+    rows += [(2, "cos", "inf", math.inf, 1), (2, "cos", "low", -math.inf, 1)]
+    full = [(q, a, s, x, None, at(t), 0.0, 0) for q, a, s, x, t in rows]
+    scores = r.latest_scores(spark.createDataFrame(full, HITS), spark.createDataFrame(ARMS, CONFIGS))
+    plain = {tuple(x) for x in r.ideal_point_scores(scores).collect()}
+    assert plain == {tuple(x) for x in r.ideal_point_scores(scores, hot_rows=10).collect()} and len(plain) > 20
+
+
+def test_quartiles_all_infinite(spark):
+    rows = [(1, "cos", s, v, 1) for s, v in zip("abcde", (math.inf, math.inf, math.inf, 1.0, 0.0))] + [(2, "cos", s, math.inf, 1) for s in "ab"]
+    got = {(x.query_id, x.song_id): x.closeness for x in rank(spark, rows).collect()}
+    assert got[1, "a"] == got[1, "d"] == 1 and got[1, "e"] == 0 and got[2, "a"] == got[2, "b"] == 0
+
+
+def test_uneven_lists_by_hand(spark):
+    """The vector norm of cos is sqrt(1.25), that of bm25 sqrt(2)."""
+    rows = [(1, "cos", "a", 1.0, 1), (1, "cos", "b", 0.5, 1), (1, "cos", "c", 0.0, 1), (1, "bm25", "a", 0.0, 1), (1, "bm25", "b", 2.0, 1), (1, "bm25", "c", 2.0, 1)]
+    got = {x.song_id: x.closeness for x in rank(spark, rows).collect()}
+    i, k = 1 / math.sqrt(1.25), 1 / math.sqrt(2)
+    assert got["a"] == pytest.approx(i / (i + k))
+    assert got["b"] == pytest.approx(math.hypot(i / 2, k) / (math.hypot(i / 2, k) + i / 2))
