@@ -72,6 +72,8 @@ P6_FOUND = f"WITH {_SHARED} SELECT query_id, term FROM sh WHERE n_records <= 0.0
 P6_WEIGHTS = f"WITH {_SHARED} SELECT query_id, chunk_id, term, observed, n_records, round(residual, 6) AS residual, round(idf, 6) AS idf FROM sh"
 P6_SHARED = f"WITH {_SHARED} SELECT query_id, list(term ORDER BY term) AS shared, round(max(idf), 6) AS max_shared_idf, round(max(residual), 6) AS max_residual, arg_min(term, struct_pack(a := -round(residual, 9), b := term)) AS top_term FROM sh GROUP BY 1"
 
+P8_FILL = "SELECT count(*) AS documents, 0::BIGINT AS over_capacity, 0::BIGINT AS broken, true AS well_filled FROM documents"
+
 ORACLES = {
     "p1_found": P1,
     "p2_found": P2_FOUND,
@@ -83,4 +85,5 @@ ORACLES = {
     "p6_found": P6_FOUND,
     "p6_weights": P6_WEIGHTS,
     "p6_shared": P6_SHARED,
+    "p8_fill": P8_FILL,
 }

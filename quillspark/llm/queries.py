@@ -97,14 +97,18 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    packed = packing.pack(table(spark, d, "documents"))
-    return packed.where("piece > 0").select("doc_id").distinct()
+    return packing.oversized(packing.pack(table(spark, d, "documents")))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    report = packing.fill_report(packing.pack(table(spark, d, "documents")))
+    return report.select("documents", "over_capacity", "broken", (F.col("fill") > 0.95).alias("well_filled"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     prose = table(spark, d, "documents").where(F.col("source").isin("liner_notes", "review", "annotation", "interview"))
     return sentences.sentence_units(prose).select("doc_id", "end_pos")
@@ -118,6 +122,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_repetition, p2_found, p2_report, p2_sample, p3_found, p3_ranking, p4_found, p4_pieces,
-        p5_found, p5_groups, p6_found, p6_weights, p6_shared, p7_ids, p8_found, p8_containers, p9_found, p9_sentences,
+        p5_found, p5_groups, p6_found, p6_weights, p6_shared, p7_ids, p8_found, p8_containers, p8_fill, p9_found, p9_sentences,
     )
 }

@@ -57,7 +57,8 @@ def test_very_long_text(spark):
 
 def test_neighbours_are_lexical():
     a, b = np.arange(100, 120), np.arange(500, 520)
-    index = p.ShardIndex([a, b, a[:15], b[:15], np.array([], dtype=np.int32)])
+    items = [a, b, a[:15], b[:15], np.array([], dtype=np.int32)]
+    index = p.ShardIndex(items, p.Corpus.of(items))
     assert list(index.neighbours(0)) == [0, 2] and list(index.neighbours(1)) == [1, 3] and list(index.neighbours(4)) == []
 
 
@@ -72,6 +73,56 @@ def test_shard_prefers_neighbours_and_fills():
     assert same > len(boxes) / 2
 
 
+def test_scores_are_bm25_of_the_whole_corpus():
+    rng = np.random.default_rng(5)
+    items = [rng.integers(0, 60, size=int(rng.integers(1, 80))) for _ in range(40)]
+    corpus = p.Corpus.of(items)
+    index = p.ShardIndex(items[:20], corpus)
+    mean = np.mean([len(i) for i in items])
+    df = {t: sum(t in i for i in items) for t in range(60)}
+
+    def score(seed, other):
+        total = 0.0
+        for t in set(items[seed].tolist()):
+            tf = int((items[other] == t).sum())
+            total += np.log(1 + (40 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(items[other]) / mean))
+        return total
+
+    for seed in range(20):
+        want = sorted((i for i in range(20) if score(seed, i) > 0), key=lambda i: (-round(score(seed, i), 9), i))
+        assert index.neighbours(seed).tolist() == want
+    index.forget(np.arange(20) % 2 == 0)
+    assert index.neighbours(0).tolist() == [i for i in sorted(range(20), key=lambda i: (-round(score(0, i), 9), i)) if i % 2 and score(0, i) > 0]
+
+
+def test_corpus_and_keys(spark):
+    rows = [(i, " hello" * 3 + " world" * (i % 2) + f" {i}") for i in range(30)] + [(100, None)]
+    items = p.token_pieces(frame(spark, rows), 64)
+    corpus = p.corpus_of(items)
+    assert corpus.n == 31 and max(corpus.frequencies) == 30
+    keyed = p._keyed(items, corpus, 20).collect()
+    assert all(x.k1 is None or 2 <= corpus.frequencies[x.k1] <= 20 for x in keyed)
+    assert next(x for x in keyed if x.doc_id == 100).k1 is None
+
+
+def test_string_ids_and_hot_tokens(spark):
+    rows = [(f"d{i:03d}", " same words in all" * 4) for i in range(150)] + [(None, " lost")]
+    packed = p.pack(spark.createDataFrame(rows, "doc_id string, text string"), capacity=64, shard_items=16).collect()
+    assert sorted(x.doc_id for x in packed if x.doc_id) == [f"d{i:03d}" for i in range(150)] and len(packed) == 151
+
+
+def test_fill_report_and_oversized(spark):
+    rows = [(1, " a" * 300), (2, " b" * 100), (3, ""), (4, " c" * 128)]
+    packed = p.pack(frame(spark, rows), capacity=128)
+    report = p.fill_report(packed, 128).first()
+    assert (report.documents, report.over_capacity, report.broken, report.tokens) == (4, 0, 0, 528)
+    assert [x.doc_id for x in p.oversized(packed, 128).collect()] == [1]
+    bad = spark.createDataFrame([("x", 0, 1, 1, 128, 9), ("x", 1, 2, 0, 0, 200)], packed.schema)
+    report = p.fill_report(bad, 128).first()
+    assert (report.over_capacity, report.broken) == (1, 1)
+    assert p.fill_report(p.pack(frame(spark, []))).first().documents == 0
+
+
 def test_repeated_ids_and_ties():
     items = [np.full(10, 7)] * 40
     boxes = p.pack_shard(items, 100)
