@@ -36,6 +36,7 @@ K1, B = 1.2, 0.75
 #: Of a container, the share that is filled for fit when neighbours have taken the rest.
 CLOSE_FIT = 0.125
 _KEYS = 3
+_TABLE = 1 << 22
 
 
 class Corpus:
@@ -134,11 +135,21 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(flat: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, token) of the distinct tokens of each row, in order."""
-    flat = flat[cuts[0] : cuts[-1]].astype(np.int64)
-    owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    pairs = np.unique(owner << 32 | flat)
-    return pairs >> 32, pairs & 0xFFFFFFFF
+    """(row, token) of the distinct tokens of each row, in order; rows are ticked off in a table, some at a time."""
+    n = len(cuts) - 1
+    width = int(flat[cuts[0] : cuts[-1]].max(initial=0)) + 1
+    step = max(1, _TABLE // width)
+    found = []
+    seen = np.zeros(step * width, dtype=bool)
+    for at in range(0, n, step):
+        part = cuts[at : at + step + 1]
+        owner = np.repeat(np.arange(len(part) - 1) * width, np.diff(part))
+        seen[owner + flat[part[0] : part[-1]]] = True
+        pairs = np.flatnonzero(seen)
+        seen[pairs] = False
+        found.append(pairs + at * width)
+    pairs = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+    return pairs // width, pairs % width
 
 
 def corpus_of(items: DataFrame) -> Corpus:
