@@ -78,14 +78,14 @@ class ShardIndex:
         self.doc, self.term, self.weight = self.doc[keep], self.term[keep], self.weight[keep]
         self.bounds = np.searchsorted(self.term, np.arange(len(self.bounds)))
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Items that share a token with the seed, best first, ties by place."""
+    def neighbours(self, seed: int, able: np.ndarray | None = None) -> np.ndarray:
+        """Items (of those ``able``) that share a token with the seed, best first, ties by place."""
         terms = self.by_doc[seed]
         first = self.bounds[terms]
         length = self.bounds[terms + 1] - first
         at = np.arange(length.sum()) + np.repeat(first - (np.cumsum(length) - length), length)
         score = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
-        found = np.flatnonzero(score > 0)
+        found = np.flatnonzero(score > 0 if able is None else (score > 0) & able)
         return found[np.argsort(-score[found], kind="stable")]
 
 
@@ -95,6 +95,7 @@ def pack_shard(items: list[np.ndarray], capacity: int = CAPACITY, corpus: Corpus
     index = ShardIndex(items, corpus or Corpus.of(items))
     by_size = sorted(range(len(items)), key=lambda i: (sizes[i], -i))
     keys = [(sizes[i], -i) for i in by_size]  # unused items, smallest first
+    size = np.array(sizes, dtype=np.int64)
     used = np.zeros(len(items), dtype=bool)
     known = len(items)  # items with postings
 
@@ -112,8 +113,8 @@ def pack_shard(items: list[np.ndarray], capacity: int = CAPACITY, corpus: Corpus
             if 2 * len(keys) < known:
                 index.forget(used)
                 known = len(keys)
-            for i in index.neighbours(seed).tolist():
-                if not used[i] and 0 < sizes[i] <= room:
+            for i in index.neighbours(seed, ~used & (size > 0) & (size <= room)).tolist():
+                if sizes[i] <= room:
                     box.append(i)
                     room -= take(i)
                     if not keys or room < max(keys[0][0], capacity * close_fit):
