@@ -54,6 +54,21 @@ longest AS (SELECT chunk_id, list_max(list_transform(string_split(regexp_replace
     list_max(list_transform(string_split(regexp_replace(replace(x, chr(10), chr(1)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: len(regexp_extract_all(p, '\S+')))) AS sentence FROM t)
 SELECT chunk_id, CASE WHEN paragraph <= 120 THEN 'paragraph' WHEN line <= 120 THEN 'line' WHEN sentence <= 120 THEN 'sentence' ELSE 'word' END AS cut_at FROM longest"""
 
+# cuts[k]: word places before which a boundary of level k or coarser stands, and the end
+P4_PIECES = r"""WITH RECURSIVE c AS (SELECT chunk_id, max({text: text, song_id: song_id, section: section, split_by: split_by}) AS m FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id),
+t AS (SELECT chunk_id, m, regexp_extract_all(m.text, '\s*\S+') AS w FROM c), l AS (SELECT *, len(w) AS n FROM t WHERE len(w) > 120),
+g AS (SELECT *, list_transform(range(2, n + 1), lambda i: {place: i - 1, gap: regexp_replace(regexp_extract(w[i], '^\s*'), '\r\n|\r', chr(10), 'g'), before: right(w[i - 1], 1)}) AS gaps FROM l),
+v AS (SELECT chunk_id, m, w, n, list_transform(gaps, lambda x: {place: x.place, level: CASE WHEN len(x.gap) - len(replace(x.gap, chr(10), '')) >= 2 THEN 0 WHEN contains(x.gap, chr(10)) THEN 1 WHEN x.before IN ('.', '!', '?') THEN 2 ELSE 3 END}) AS b FROM g),
+k AS (SELECT chunk_id, m, w, n, [list_append(list_transform(list_filter(b, lambda x: x.level <= 0), lambda x: x.place), n), list_append(list_transform(list_filter(b, lambda x: x.level <= 1), lambda x: x.place), n),
+    list_append(list_transform(list_filter(b, lambda x: x.level <= 2), lambda x: x.place), n), range(1, n + 1)] AS cuts FROM v),
+f AS (SELECT chunk_id, m, w, n, cuts, list_min(list_filter([1, 2, 3, 4], lambda j: j = 4 OR list_max(list_transform(range(1, len(cuts[j]) + 1), lambda i: cuts[j][i] - CASE WHEN i = 1 THEN 0 ELSE cuts[j][i - 1] END)) <= 120)) AS lev FROM k),
+step AS (SELECT chunk_id, n, cuts, lev, 0::BIGINT AS piece, 0::BIGINT AS cut, 0::BIGINT AS nxt FROM f
+    UNION ALL SELECT chunk_id, n, cuts, lev, piece + 1, nxt, list_max(list_filter(cuts[list_min(list_filter([1, 2, 3, 4], lambda j: j >= lev AND len(list_filter(cuts[j], lambda x: x > nxt AND x <= nxt + CASE WHEN nxt = 0 THEN 120 ELSE 105 END)) > 0))],
+        lambda x: x > nxt AND x <= nxt + CASE WHEN nxt = 0 THEN 120 ELSE 105 END)) FROM step WHERE nxt < n)
+SELECT chunk_id, m.song_id AS song_id, m.section AS section, m.split_by AS split_by, true AS force_split, ['paragraph', 'line', 'sentence', 'word'][f.lev] AS cut_at, (piece - 1)::INT AS piece,
+    (count(*) OVER (PARTITION BY chunk_id))::INT AS n_pieces, (nxt - greatest(cut - 15, 0))::INT AS n_words, regexp_replace(array_to_string(w[greatest(cut - 15, 0) + 1 : nxt], ''), '^\s+', '') AS text
+FROM step JOIN f USING (chunk_id) WHERE piece > 0"""
+
 P5 = rf"""WITH s AS (SELECT song_id, {_WORDS.format(r"regexp_replace(max(text_raw), '\[[^\]]*\]', ' ', 'g')")} AS w FROM songs GROUP BY song_id),
 g AS (SELECT DISTINCT song_id, hash(w[i], w[i+1], w[i+2]) AS gram FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM s WHERE len(w) >= 10)),
 n AS (SELECT song_id, count(*) AS n FROM g GROUP BY 1),
@@ -81,6 +96,7 @@ ORACLES = {
     "p3_found": P3_FOUND,
     "p3_ranking": P3_RANKING,
     "p4_found": P4,
+    "p4_pieces": P4_PIECES,
     "p5_found": P5,
     "p6_found": P6_FOUND,
     "p6_weights": P6_WEIGHTS,

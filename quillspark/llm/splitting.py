@@ -4,7 +4,9 @@ Method: pointer doubling.  Every boundary of a text is joined to its farthest
 legal successor (the piece between them, overlap included, stays within the
 limit); the successor tables are then squared, and each squaring doubles the
 cuts that are known, so that all greedy cuts come out in log2(cuts) steps for
-all texts of a batch in parallel.
+all texts of a batch in parallel.  The level at which a text is cut comes out
+of the same doubling: each level has a table of its own, without overlap, and
+the coarsest whose steps lead from the start to the end is taken.
 
 A successor never leaves its text, so the tables of an Arrow batch are one
 flat array: joining is a binary search and squaring is one gather.  Nothing is
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 LIMIT = 120
 OVERLAP = 15
+#: Word places of the texts that are doubled together, unless one text alone has more.
+WORDS_AT_ONCE = 500_000
 LEVELS = ("paragraph", "line", "sentence", "word")
 
 _WORD = re.compile(r"\S+")
@@ -54,13 +58,39 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at[:, 0], at[:, 1], level
 
 
-def coarsest_level(level: np.ndarray, limit: int) -> int:
-    """Coarsest level at which cutting everywhere leaves no part above ``limit`` words."""
+def level_steps(level: np.ndarray, k: int, limit: int) -> np.ndarray:
+    """Farthest boundary of level ``k`` or coarser within ``limit`` words of every word place 0..n; a place that has none is its own."""
+    n = len(level)
+    here = np.arange(n + 1)
+    cuts = np.append(np.flatnonzero(level <= k), n)
+    far = cuts[np.maximum(np.searchsorted(cuts, np.minimum(here + limit, n), side="right") - 1, 0)]
+    return np.maximum(far, here)
+
+
+def coarsest_levels(levels: list[np.ndarray], limit: int) -> list[int]:
+    """For every text the coarsest level whose steps, doubled until nothing moves, lead from its start to its end.
+
+    They do so just where cutting at all boundaries of the level leaves no part above ``limit`` words.
+    """
+    found = [3] * len(levels)
+    open_ = list(range(len(levels)))
     for k in range(3):
-        cuts = np.append(np.flatnonzero(level <= k), len(level))
-        if np.diff(cuts).max(initial=0) <= limit:
-            return k
-    return 3
+        if not open_:
+            break
+        tables = [level_steps(levels[i], k, limit) for i in open_]
+        jump, base = _joint(tables)
+        at = base.copy()
+        while True:
+            further = jump[at]
+            if (further == at).all():
+                break
+            at, jump = further, jump[jump]
+        ended = at == base + [len(levels[i]) for i in open_]
+        for i, done in zip(open_, ended):
+            if done:
+                found[i] = k
+        open_ = [i for i, done in zip(open_, ended) if not done]
+    return found
 
 
 def successors(level: np.ndarray, start_level: int, limit: int, overlap: int) -> np.ndarray:
@@ -82,11 +112,16 @@ def successors(level: np.ndarray, start_level: int, limit: int, overlap: int) ->
     return out
 
 
+def _joint(tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(one table of all, where each begins)."""
+    sizes = np.array([len(t) for t in tables], dtype=np.int64)
+    base = np.cumsum(sizes) - sizes
+    return np.concatenate([t + b for t, b in zip(tables, base)]) if tables else np.empty(0, dtype=np.int64), base
+
+
 def all_cuts(tables: list[np.ndarray]) -> list[np.ndarray]:
     """The greedy cuts of every text from its successor table, by squaring the joint table."""
-    sizes = np.array([len(t) for t in tables])
-    base = np.cumsum(sizes) - sizes
-    jump = np.concatenate([t + b for t, b in zip(tables, base)]) if tables else np.empty(0, dtype=np.int64)
+    jump, base = _joint(tables)
     reached = base.copy()  # each text's start
     while True:
         # with the table of 2^k steps, the first 2^k cuts give the next 2^k
@@ -99,22 +134,31 @@ def all_cuts(tables: list[np.ndarray]) -> list[np.ndarray]:
     return [part - b for part, b in zip(np.split(reached, where[1:]), base)]
 
 
+def _cut(kept: list[tuple], limit: int, overlap: int) -> pd.DataFrame:
+    """The pieces of some texts, given as (row, starts, ends, level)."""
+    levels = coarsest_levels([level for *_, level in kept], limit)
+    tables = [successors(level, k, limit, overlap) for (*_, level), k in zip(kept, levels)]
+    out = []
+    for (row, starts, ends, _), k, cuts in zip(kept, levels, all_cuts(tables)):
+        for i in range(len(cuts) - 1):
+            first = max(0, cuts[i] - overlap)
+            text = row.text[starts[first] : ends[cuts[i + 1] - 1]]
+            out.append((row.chunk_id, row.song_id, row.section, row.split_by, True, LEVELS[k], i, len(cuts) - 1, int(cuts[i + 1] - first), text))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
 def _pieces(batches: Iterator[pd.DataFrame], limit: int, overlap: int) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        kept, tables = [], []
+        kept, held = [], 0
         for row in rows.itertuples(index=False):
             starts, ends, level = boundaries(row.text)
             if len(starts) > limit:
-                k = coarsest_level(level, limit)
-                kept.append((row, starts, ends, k))
-                tables.append(successors(level, k, limit, overlap))
-        out = []
-        for (row, starts, ends, k), cuts in zip(kept, all_cuts(tables)):
-            for i in range(len(cuts) - 1):
-                first = max(0, cuts[i] - overlap)
-                text = row.text[starts[first] : ends[cuts[i + 1] - 1]]
-                out.append((row.chunk_id, row.song_id, row.section, row.split_by, True, LEVELS[k], i, len(cuts) - 1, int(cuts[i + 1] - first), text))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                kept.append((row, starts, ends, level))
+                held += len(starts)
+            if held >= WORDS_AT_ONCE:
+                yield _cut(kept, limit, overlap)
+                kept, held = [], 0
+        yield _cut(kept, limit, overlap)
 
 
 def split_oversized(chunks: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

@@ -43,7 +43,10 @@ def greedy(level, k0, limit, overlap):
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=50), min_size=1, max_size=4), st.integers(4, 9), st.integers(0, 3))
 def test_squaring_gives_the_greedy_cuts(levels, limit, overlap):
     levels = [np.array([0, *x[1:]]) for x in levels]
-    start = [s.coarsest_level(x, limit) for x in levels]
+    start = s.coarsest_levels(levels, limit)
+    for x, k in zip(levels, start):
+        fits = [np.diff([*np.flatnonzero(x <= j), len(x)]).max() <= limit for j in range(4)]
+        assert k == (fits.index(True) if True in fits else 3)
     got = s.all_cuts([s.successors(x, k, limit, overlap) for x, k in zip(levels, start)])
     assert [list(g) for g in got] == [greedy(x, k, limit, overlap) for x, k in zip(levels, start)]
 
