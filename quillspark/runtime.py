@@ -120,6 +120,23 @@ def hot_keys(df: DataFrame, on: list[str], *, rows: int = HOT_ROWS) -> DataFrame
     return counts.where(F.col("__n") > least).select(*on)
 
 
+def skewed_join(big: DataFrame, unique: DataFrame, on: list[str], spread: Column, how: str = "inner", *, rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """Equi-join of which only the hot keys of ``big`` are salted, so that ``unique`` (one row per key) is not copied for the others.
+
+    The keys of ``big`` are counted here, so it should be a written table.
+    """
+    hot = hot_keys(big, on, rows=rows)
+    found = hot.collect()  # at most HOT_SHARE rows
+    if not found:
+        return big.join(unique, on, how)
+    salt, flag = "__salt", "__hot"
+    keys = F.broadcast(big.sparkSession.createDataFrame(found, hot.schema).withColumn(flag, F.lit(True)))
+    left = big.join(keys, on, "left").withColumn(salt, F.when(F.col(flag), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop(flag)
+    copies = F.when(F.col(flag), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = unique.join(keys, on, "left").withColumn(salt, F.explode(copies)).drop(flag)
+    return left.join(right, [*on, salt], how).drop(salt)
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], as_name: str = "rank", name: str = "ranked") -> DataFrame:
     """1-based row number within each group, without ever holding a group in one task.
 
