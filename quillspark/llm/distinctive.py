@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, salted_join
+from ..runtime import discard, materialize, skewed_join
 
 MAX_SHARE = 0.005
 _WORD = r"[\p{L}\p{N}]+"
@@ -32,12 +32,13 @@ def one_per_key(df: DataFrame, key: str, *columns: str) -> DataFrame:
 def term_statistics(records: DataFrame, text: str) -> DataFrame:
     """(term, n_occurrences, n_records) over all records, one row per term.
 
-    The words of a record are sorted, so that its distinct terms are seen in
-    passing; only per-task partial sums per term are shuffled.
+    A record gives its words and, beside them, its distinct words; only
+    per-task partial sums per term are shuffled.
     """
-    sorted_words = records.select(F.sort_array(word_list(F.col(text))).alias("w"))
-    flagged = F.transform("w", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("w", i - 1) != x)).cast("int").alias("first")))
-    return sorted_words.select(F.explode(flagged).alias("t")).groupBy("t.term").agg(F.count(F.lit(1)).alias("n_occurrences"), F.sum("t.first").alias("n_records"))
+    listed = records.select(word_list(F.col(text)).alias("w"))
+    both = F.array(F.struct("w", F.lit(0).alias("distinct")), F.struct(F.array_distinct("w").alias("w"), F.lit(1).alias("distinct")))
+    each = listed.select(F.inline(both)).select(F.explode("w").alias("term"), "distinct")
+    return each.groupBy("term").agg(F.sum(1 - F.col("distinct")).alias("n_occurrences"), F.sum("distinct").alias("n_records"))
 
 
 def shared_terms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -49,20 +50,24 @@ def shared_terms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     shared term have no rows.  All chunks, those of null or blank text too,
     are in total_records.  The idf is ln((1 + n) / (1 + df)) + 1.
     """
-    chunks = materialize(one_per_key(chunks, "chunk_id", "text"), "chunks")
     queries = one_per_key(queries, "query_id", "query", "source_chunk_id").where(F.col("source_chunk_id").isNotNull())
     asked = queries.select("query_id", F.col("source_chunk_id").alias("chunk_id"), F.explode(F.array_distinct(word_list(F.col("query")))).alias("term"))
     asked = materialize(asked.where(F.length("term") >= 2), "asked")
-    sources = chunks.join(asked.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    counted = sources.select("chunk_id", word_list(F.col("text")).alias("w"))
+    # one shuffle takes the largest text of each chunk and marks the chunks that are asked for
+    marks = asked.select("chunk_id", F.lit(None).cast("string").alias("text"), F.lit(False).alias("stored"), F.lit(True).alias("source")).distinct()
+    stored = chunks.where(F.col("chunk_id").isNotNull()).select("chunk_id", "text", F.lit(True).alias("stored"), F.lit(False).alias("source"))
+    chunks = stored.unionByName(marks).groupBy("chunk_id").agg(F.max("text").alias("text"), F.max("stored").alias("stored"), F.max("source").alias("source"))
+    chunks = materialize(chunks.where("stored").drop("stored"), "chunks")
+    counted = chunks.where("source").select("chunk_id", word_list(F.col("text")).alias("w"))
     counted = counted.select("chunk_id", F.size("w").alias("n_chunk_words"), F.explode("w").alias("term"))
     counted = counted.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("observed"), F.first("n_chunk_words").alias("n_chunk_words"))
-    shared = materialize(salted_join(asked, counted, ["chunk_id", "term"], F.col("query_id")), "shared")
+    shared = materialize(skewed_join(asked, counted, ["chunk_id", "term"], F.col("query_id")), "shared")
+    discard(asked)
 
     stats = materialize(term_statistics(chunks, "text"), "terms")
     words = stats.agg(F.sum("n_occurrences").alias("total_words"))
     records = chunks.agg(F.count(F.lit(1)).alias("total_records"))
-    joined = salted_join(shared, stats, ["term"], F.col("query_id"))
+    joined = skewed_join(shared, stats, ["term"], F.col("query_id"))
     joined = joined.join(F.broadcast(words.crossJoin(records)))  # a single row of totals
     n, r, c = F.col("total_words"), F.col("n_chunk_words"), F.col("n_occurrences")
     expected = r * c / n
@@ -73,8 +78,10 @@ def shared_terms(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def rare_shared_terms(shared: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
-    """(query_id, term): shared terms in at most ``max_share`` of all records."""
-    return shared.where(F.col("n_records") <= F.col("total_records") * F.lit(max_share)).select("query_id", "term")
+    """(query_id, terms, residuals): per query its shared terms in at most ``max_share`` of all records, the most characteristic first, ties by term."""
+    rare = shared.where(F.col("n_records") <= F.col("total_records") * F.lit(max_share))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.round("residual", 9)).alias("r"), "term", "residual")))  # within one query's own words
+    return rare.groupBy("query_id").agg(ordered.alias("m")).select("query_id", F.col("m.term").alias("terms"), F.col("m.residual").alias("residuals"))
 
 
 def leak_summary(shared: DataFrame) -> DataFrame:

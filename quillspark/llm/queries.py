@@ -81,7 +81,7 @@ def _shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.rare_shared_terms(_shared(spark, d))
+    return distinctive.rare_shared_terms(_shared(spark, d)).select("query_id", F.explode("terms").alias("term"))
 
 
 def p6_weights(spark: SparkSession, d: str) -> DataFrame:

@@ -30,7 +30,10 @@ def test_by_hand(spark):
 
 def test_rare_terms_and_summary(spark):
     shared = run(spark, CORPUS, [(1, "the rare gem", "c"), (1, "the rare gem", "c"), (2, "sat cat", "b")])
-    assert {tuple(r) for r in d.rare_shared_terms(shared, 0.2).collect()} == {(1, "rare"), (1, "gem"), (2, "sat")}
+    rare = {r.query_id: r for r in d.rare_shared_terms(shared, 0.2).collect()}
+    assert {q: r.terms for q, r in rare.items()} == {1: ["gem", "rare"], 2: ["sat"]} and rare[1].residuals[0] == rare[1].residuals[1] > 0
+    more = {r.query_id: r for r in d.rare_shared_terms(shared, 1.0).collect()}
+    assert more[1].terms == ["gem", "rare", "the"] and sorted(more[1].residuals, reverse=True) == more[1].residuals
     got = {r.query_id: r for r in d.leak_summary(shared).collect()}
     assert got[1].shared == ["gem", "rare", "the"] and got[1].top_term == "gem" and got[2].top_term == "sat"
 
