@@ -16,6 +16,28 @@ places AS (SELECT DISTINCT record_kind, record_id, unnest(range(i, i + 4)) AS pl
 n AS (SELECT record_kind, record_id, count(*) AS n FROM places GROUP BY ALL)
 SELECT record_kind, record_id FROM n JOIN w USING (record_kind, record_id) WHERE n.n * 2 > len(w)"""
 
+_BLANKS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
+P1_REPETITION = rf"""WITH texts AS (SELECT 'song' AS record_kind, song_id AS record_id, max(text_raw) AS text, max(lower(trim(artist))) AS host FROM songs GROUP BY song_id
+    UNION ALL SELECT 'chunk', chunk_id, max(text), max(song_id) FROM chunks GROUP BY chunk_id),
+w AS (SELECT record_kind, record_id, coalesce(host, '(none)') AS host, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM texts),
+g AS (SELECT record_kind, record_id, i, array_to_string(w[i:i+3], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - 2)) AS i FROM w)),
+again AS (SELECT record_kind, record_id, i FROM (SELECT *, row_number() OVER (PARTITION BY record_kind, record_id, gram ORDER BY i) AS n FROM g) WHERE n > 1),
+n AS (SELECT record_kind, record_id, count(*) AS n FROM (SELECT DISTINCT record_kind, record_id, unnest(range(i, i + 4)) AS place FROM again) GROUP BY ALL),
+p AS (SELECT *, [list_filter(list_transform(x, lambda t: lower(trim(regexp_replace(t, '{_BLANKS}', ' ', 'g')))), lambda t: t <> '') FOR x IN
+    [string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{{2028}}\x{{2029}}]'), string_split_regex(text, '(?:\r\n|\r|\n)\s*(?:\r\n|\r|\n)')]] AS parts FROM w),
+s AS (SELECT record_kind, record_id, host, len(w) AS n_words, [coalesce(1 - list_sum(list_transform(list_distinct(x), lambda t: len(t))) / list_sum(list_transform(x, lambda t: len(t))), 0.0) FOR x IN parts] AS shares FROM p),
+d AS (SELECT record_kind, record_id, host, n_words, coalesce(n, 0) AS repeated_words, CASE WHEN n_words > 0 THEN coalesce(n, 0) / n_words ELSE 0.0 END AS repeated_share, shares[1] AS dup_line_share, shares[2] AS dup_paragraph_share,
+    n_words >= 8 AND coalesce(n, 0) * 2 > n_words AS fails_phrase, n_words >= 8 AND (coalesce(n, 0) * 2 > n_words OR shares[1] > 0.5 OR shares[2] > 0.5) AS fails FROM s LEFT JOIN n USING (record_kind, record_id)),
+h AS (SELECT record_kind, host, count(*) AS host_documents, count(*) FILTER (fails) AS host_failures, count(*) FILTER (fails) / count(*) AS host_rate FROM d GROUP BY ALL),
+mo AS (SELECT record_kind, sum(host_failures) / sum(host_documents) AS mean, var_pop(host_rate) AS var, avg(1.0 / host_documents) AS inv FROM h GROUP BY 1),
+b AS (SELECT *, greatest(var - mean * (1 - mean) * inv, 0) AS between_hosts FROM mo),
+pr AS (SELECT record_kind, mean, least(CASE WHEN between_hosts <= 0 THEN 1e6 ELSE greatest(mean * (1 - mean) / between_hosts - 1, 1e-3) END, 1e6) AS strength FROM b),
+v AS (SELECT record_kind, host, host_documents, host_failures, host_rate, (host_failures + mean * strength) / (host_documents + strength) AS shrunk FROM h JOIN pr USING (record_kind))
+SELECT record_kind, record_id, n_words::INT AS n_words, repeated_words::INT AS repeated_words, round(repeated_share, 9) AS repeated_share, round(dup_line_share, 9) AS dup_line_share, round(dup_paragraph_share, 9) AS dup_paragraph_share, fails_phrase,
+    host, host_documents, host_failures, round(host_rate, 9) AS host_rate, round(shrunk, 9) AS host_shrunk_rate, CASE WHEN shrunk > 0.5 THEN 'repetitive' ELSE 'ok' END AS host_verdict,
+    CASE WHEN fails_phrase THEN 'repetitive' WHEN shrunk > 0.5 THEN 'suspect' ELSE 'ok' END AS verdict
+FROM d JOIN v USING (record_kind, host)"""
+
 _PEOPLE = r"""pop AS (SELECT 'stratum' AS dimension, query_id::VARCHAR AS id, max(lower(regexp_replace(stratum, '^[ \t]+|[ \t]+$', '', 'g'))) AS category FROM eval_queries GROUP BY query_id
     UNION ALL SELECT 'is_translation', song_id, max(is_translation::VARCHAR) FROM songs GROUP BY song_id
     UNION ALL SELECT 'split_by', chunk_id, max(lower(regexp_replace(split_by, '^[ \t]+|[ \t]+$', '', 'g'))) FROM chunks GROUP BY chunk_id),
@@ -27,6 +49,11 @@ rep AS (SELECT plan_id, dimension, lower(trim(category)) AS category, total, coa
 P2_REPORT = f"WITH {_PEOPLE} SELECT plan_id, dimension, category, total, available, wanted, least(wanted, available) AS taken, greatest(wanted - available, 0) AS deficit FROM rep"
 P2_FOUND = f"WITH {_PEOPLE} SELECT plan_id, category FROM rep WHERE available < wanted"
 
+# the wanted rows of smallest draw, whatever the acceptance probability was
+P2_SAMPLE = f"""WITH {_PEOPLE}, plan AS (SELECT DISTINCT plan_id, dimension, category, wanted FROM rep WHERE available > 0),
+drawn AS (SELECT plan_id, dimension, category, id AS record_id, wanted, ('0x' || substr(md5('42:' || plan_id || ':' || id), 1, 13))::BIGINT AS u FROM plan JOIN pop USING (dimension, category))
+SELECT plan_id, dimension, category, record_id FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, dimension, category ORDER BY u, record_id) AS n FROM drawn) WHERE n <= wanted"""
+
 _CLOSENESS = """latest AS (SELECT query_id, arm, song_id, score FROM (
     SELECT query_id, arm, song_id, CASE WHEN NOT isnan(score) THEN score END AS score,
            row_number() OVER (PARTITION BY query_id, arm, song_id ORDER BY scored_at DESC NULLS LAST, CASE WHEN NOT isnan(score) THEN score END DESC NULLS LAST) AS rn
@@ -91,7 +118,9 @@ P8_FILL = "SELECT count(*) AS documents, 0::BIGINT AS over_capacity, 0::BIGINT A
 
 ORACLES = {
     "p1_found": P1,
+    "p1_repetition": P1_REPETITION,
     "p2_found": P2_FOUND,
+    "p2_sample": P2_SAMPLE,
     "p2_report": P2_REPORT,
     "p3_found": P3_FOUND,
     "p3_ranking": P3_RANKING,

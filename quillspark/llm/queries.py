@@ -18,13 +18,13 @@ def _repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _repetition(spark, d).where("fails_phrase").select("record_kind", "record_id")
+    return _repetition(spark, d).where("verdict = 'repetitive'").select("record_kind", "record_id")
 
 
 def p1_repetition(spark: SparkSession, d: str) -> DataFrame:
     shares = [F.round(c, 9).alias(c) for c in ("repeated_share", "dup_line_share", "dup_paragraph_share")]
     rates = [F.round(c, 9).alias(c) for c in ("host_rate", "host_shrunk_rate")]
-    return _repetition(spark, d).select("record_kind", "record_id", "n_words", "repeated_words", *shares, "fails_phrase", "host", "host_documents", "host_failures", *rates, "host_verdict")
+    return _repetition(spark, d).select("record_kind", "record_id", "n_words", "repeated_words", *shares, "fails_phrase", "host", "host_documents", "host_failures", *rates, "host_verdict", "verdict")
 
 
 def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

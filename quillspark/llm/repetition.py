@@ -3,7 +3,9 @@
 Method: each text is measured once (shares of repeated word places, lines and
 paragraphs), rules fail or pass per document, failures are added up by host,
 host failure rates are shrunk with a beta prior fitted to all hosts, and the
-host verdict is joined back to every document of the host.
+host verdict is joined back to every document of the host.  A document's
+verdict is then its own ('repetitive') where its phrases fail, else that of
+its host ('suspect' in a repetitive host), else 'ok'.
 
 The text itself is never shuffled: it is measured where it is scanned, and
 only a few numbers per document travel on.
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..runtime import materialize, salted_join
+from ..runtime import counted_join, materialize, skewed_join
 
 RUN = 4
 MIN_WORDS = 8
@@ -101,7 +103,7 @@ def repetition(measures: DataFrame, *, min_words: int = MIN_WORDS, max_share: fl
     (record_kind, record_id): the measures, ``repeated_share`` (0 for texts of
     fewer than four words), ``fails_phrase``, ``fails_line``,
     ``fails_paragraph``, the host's document and failure counts, its raw and
-    shrunk failure rate, and ``host_verdict``.  Null, empty and wordless texts
+    shrunk failure rate, ``host_verdict`` and the document's ``verdict``.  Null, empty and wordless texts
     have share 0 and fail nothing; a null host is a host of its own kind, '(none)'.
     """
     key = ["record_kind", "record_id"]
@@ -134,12 +136,13 @@ def repetition(measures: DataFrame, *, min_words: int = MIN_WORDS, max_share: fl
     prior = moments.select("record_kind", "mean", F.least(strength, F.lit(1e6)).alias("strength"))
     alpha = F.col("mean") * F.col("strength")
     hosts = (
-        hosts.join(F.broadcast(prior), "record_kind")  # at most one row per kind of record
+        counted_join(hosts, prior, ["record_kind"], F.col("host"))  # one row per kind of record
         .withColumn("host_shrunk_rate", (F.col("host_failures") + alpha) / (F.col("host_documents") + F.col("strength")))
         .withColumn("host_verdict", F.when(F.col("host_shrunk_rate") > host_limit, F.lit("repetitive")).otherwise(F.lit("ok")))
         .drop("mean", "strength")
     )
-    return salted_join(docs, hosts, ["record_kind", "host"], F.col("record_id"))
+    judged = skewed_join(docs, hosts, ["record_kind", "host"], F.col("record_id"))
+    return judged.withColumn("verdict", F.when(F.col("fails_phrase"), "repetitive").when(F.col("host_verdict") == "repetitive", "suspect").otherwise("ok"))
 
 
 def songs_and_chunks(songs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -20,7 +20,9 @@ from ..runtime import materialize, ranked
 OVERSAMPLE = 1.1
 SLACK = 50
 BINS = 4096
-_SPACE = float(2**53)
+_SPACE = float(2**52)
+#: Rows of plans and categories that are broadcast at most; a larger configuration is joined by shuffles.
+_PLANS = 50_000
 
 
 def normal(category):
@@ -71,6 +73,12 @@ def wants(people: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def _with_plans(rows: DataFrame, plans: DataFrame, on: tuple[str, ...] = ("dimension", "category"), how: str = "inner") -> DataFrame:
+    """``rows`` with the plans of their category: broadcast after counting, as a category may hold most rows and several plans may ask for it."""
+    few = plans.limit(_PLANS + 1).count() <= _PLANS
+    return rows.join(F.broadcast(plans) if few else plans, list(on), how)
+
+
 def matched_sample(people: DataFrame, targets: DataFrame, seed: int = 42, *, oversample: float = OVERSAMPLE, bins: int = BINS) -> tuple[DataFrame, DataFrame]:
     """(sample, report).
 
@@ -87,8 +95,10 @@ def matched_sample(people: DataFrame, targets: DataFrame, seed: int = 42, *, ove
     plan = wanted.where((F.col("wanted") > 0) & (F.col("available") > 0)).select(
         "plan_id", "dimension", "category", "wanted", "available", F.least(rate, F.lit(1.0)).alias("accept")
     )
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("plan_id"), F.col("record_id")), 11) / F.lit(_SPACE)
-    drawn = people.join(F.broadcast(plan), ["dimension", "category"]).withColumn("u", u)
+    # the same numbers in any engine: 52 bits of a digest
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("plan_id"), F.col("record_id")))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(_SPACE)
+    drawn = _with_plans(people, plan).withColumn("u", u)
     group = ["plan_id", "dimension", "category"]
 
     def cut(rows: DataFrame) -> DataFrame:
@@ -110,11 +120,11 @@ def matched_sample(people: DataFrame, targets: DataFrame, seed: int = 42, *, ove
     short = plan.join(cuts, group, "left").where(F.coalesce("accepted", F.lit(0)) < F.least("wanted", "available")).select(*group, F.lit(True).alias("again"))
     short = materialize(short, "short")
     if short.take(1):
-        redo = drawn.join(F.broadcast(short), group, "left_semi").withColumn("bin", F.floor(F.col("u") * bins).cast("int"))
-        kept = accepted.join(F.broadcast(short), group, "left_anti")
+        redo = _with_plans(drawn, short, group, "left_semi").withColumn("bin", F.floor(F.col("u") * bins).cast("int"))
+        kept = _with_plans(accepted, short, group, "left_anti")
         accepted = materialize(kept.unionByName(redo), "accepted")
         cuts = cut(accepted)
-    placed = accepted.join(F.broadcast(cuts), group)  # one row per plan and category
+    placed = _with_plans(accepted, materialize(cuts, "cuts"), group)
     whole = placed.where(F.col("edge_bin").isNull() | (F.col("bin") < F.col("edge_bin")))
     edge = placed.where((F.col("bin") == F.col("edge_bin")) & (F.col("inside") < F.col("wanted")))
     columns = [*group, "record_id"]
