@@ -120,12 +120,12 @@ def hot_keys(df: DataFrame, on: list[str], *, rows: int = HOT_ROWS) -> DataFrame
     return counts.where(F.col("__n") > least).select(*on)
 
 
-def skewed_join(big: DataFrame, unique: DataFrame, on: list[str], spread: Column, how: str = "inner", *, rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+def skewed_join(big: DataFrame, unique: DataFrame, on: list[str], spread: Column, how: str = "inner", *, counted: DataFrame | None = None, rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """Equi-join of which only the hot keys of ``big`` are salted, so that ``unique`` (one row per key) is not copied for the others.
 
-    The keys of ``big`` are counted here, so it should be a written table.
+    The keys are counted here, on ``counted`` or else on ``big``, which should be a written table.
     """
-    hot = hot_keys(big, on, rows=rows)
+    hot = hot_keys(big if counted is None else counted, on, rows=rows)
     found = hot.collect()  # at most HOT_SHARE rows
     if not found:
         return big.join(unique, on, how)
