@@ -10,7 +10,7 @@ from . import distinctive, near_duplicates, packing, ranking, repetition, sampli
 from .oracles import ORACLES  # noqa: F401
 
 #: Problem 5 in this project's data: three-word runs, half of the union, ten words.
-SONGS_ALIKE = near_duplicates.Similarity(run=3, threshold=0.5, min_words=10, rows=5, bands=204)
+SONGS_ALIKE = near_duplicates.Similarity(run=3, threshold=0.5, min_words=10, rows=5, bands=240, size=512)
 
 
 def _repetition(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from quillspark.llm import near_duplicates as n
 from quillspark.llm import queries
 
-HOW = n.Similarity(run=3, threshold=0.5, min_words=10, rows=5, bands=204)
+HOW = n.Similarity(run=3, threshold=0.5, min_words=10, rows=5, bands=240, size=512)
 SONGS = "song_id string, text_raw string, a string, rep string, id string, key string"
 
 
@@ -108,14 +108,36 @@ def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     universe = rng.integers(0, 2**63, 600, dtype=np.uint64)
     sets = [np.sort(universe[:300]), np.sort(universe[100:400]), universe[:1], universe[:3]]
-    sk = n.sketches(sets, 1020)
+    sk = n.sketches(np.concatenate(sets), np.array([len(s) for s in sets]), 1020)
     assert (sk != 0).all()
     assert (sk[0] == sk[1]).mean() == pytest.approx(0.5, abs=0.07)
     assert len(set(sk[2])) > 1  # one element fills all places, with another value in each round
-    one = n.sketches([sets[0]], 1020)
+    one = n.sketches(sets[0], np.array([300]), 1020)
     assert (one[0] == sk[0]).all()  # what else is in the batch does not matter
 
 
+def test_run_hashes_stay_within_a_text():
+    texts = [list("abcab"), ["a"], [], list("abc")]
+    h, counts = n.run_hashes(texts, 3)
+    assert counts.tolist() == [3, 0, 0, 1] and len(h) == 4
+    assert h[0] == h[3] == n.runs(list("abc"), 3)[0] and len(set(h.tolist())) == 3
+    assert len(n.run_hashes([], 3)[0]) == len(n.run_hashes([["a"]], 3)[0]) == 0
+
+
+def test_all_of_a_key_meet():
+    rng = np.random.default_rng(2)
+    keys, ids = rng.integers(0, 40, 300, dtype=np.uint32), np.arange(300) * 7
+    want = {(a, b) for (a, k), (b, m) in itertools.combinations(zip(ids.tolist(), keys.tolist()), 2) if k == m}
+    got = [tuple(sorted(p)) for a, b in n.meeting(keys, ids) for p in zip(a.tolist(), b.tolist())]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_layout_uses_each_coordinate_once_a_shuffle():
+    layout = HOW.layout()
+    assert layout.shape == (240, 5) and all(len(set(b)) == 5 for b in layout.tolist())
+    assert np.bincount(layout.ravel(), minlength=512).max() <= 3
+
+
 def test_default_is_five_words_at_eight_tenths():
     assert (n.Similarity().run, n.Similarity().threshold) == (5, 0.8)
     assert 1 - (1 - 0.8**8) ** 64 > 0.99999
