@@ -102,6 +102,18 @@ n AS (SELECT song_id, count(*) AS n FROM g GROUP BY 1),
 shared AS (SELECT a.song_id AS song_id_a, b.song_id AS song_id_b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.song_id < b.song_id GROUP BY ALL)
 SELECT song_id_a, song_id_b FROM shared JOIN n x ON x.song_id = song_id_a JOIN n y ON y.song_id = song_id_b WHERE shared * 2 >= x.n + y.n - shared"""
 
+P5_GROUPS = rf"""WITH RECURSIVE s AS (SELECT song_id, {_WORDS.format(r"regexp_replace(max(text_raw), '\[[^\]]*\]', ' ', 'g')")} AS w FROM songs WHERE song_id IS NOT NULL GROUP BY song_id),
+m AS (SELECT song_id, w, min(song_id) OVER (PARTITION BY w) AS rep FROM s WHERE len(w) >= 10),
+g AS (SELECT DISTINCT song_id, hash(w[i], w[i+1], w[i+2]) AS gram FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM m WHERE song_id = rep)),
+n AS (SELECT song_id, count(*) AS n FROM g GROUP BY 1),
+shared AS (SELECT a.song_id AS a, b.song_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.song_id < b.song_id GROUP BY ALL),
+l AS (SELECT a, b FROM shared JOIN n x ON x.song_id = a JOIN n y ON y.song_id = b WHERE shared * 2 >= x.n + y.n - shared),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), degree AS (SELECT a AS rep, count(*) AS n_links FROM e GROUP BY 1),
+reach AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+c AS (SELECT a AS rep, min(b) AS group_id FROM reach GROUP BY 1)
+SELECT s.song_id, coalesce(m.rep, s.song_id) AS rep, coalesce(group_id, m.rep, s.song_id) AS group_id, coalesce(n_links, 0) AS n_links
+FROM s LEFT JOIN m USING (song_id) LEFT JOIN c ON c.rep = m.rep LEFT JOIN degree d ON d.rep = m.rep"""
+
 _SHARED = rf"""c AS (SELECT chunk_id, max(text) AS text FROM chunks GROUP BY chunk_id),
 cw AS (SELECT chunk_id, unnest({_WORDS.format('text')}) AS term FROM c), ct AS (SELECT chunk_id, term, count(*) AS observed FROM cw GROUP BY ALL),
 len AS (SELECT chunk_id, count(*) AS r FROM cw GROUP BY 1), tot AS (SELECT count(*) AS n FROM cw), nc AS (SELECT count(*) AS total FROM c),
@@ -127,6 +139,7 @@ ORACLES = {
     "p4_found": P4,
     "p4_pieces": P4_PIECES,
     "p5_found": P5,
+    "p5_groups": P5_GROUPS,
     "p6_found": P6_FOUND,
     "p6_weights": P6_WEIGHTS,
     "p6_shared": P6_SHARED,

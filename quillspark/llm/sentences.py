@@ -10,7 +10,9 @@ Rules.  A blank line ends a unit.  A single line break is white space, unless
 it starts an item of a list.  Inside a quotation or bracket that is closed in
 its paragraph nothing ends; at its closing mark a terminator that stood before
 it counts.  A quotation ending in ! or ? goes on into the words that say who
-spoke.  Thai units are parted by white space.
+spoke: a name and a verb, or another subject and a verb of speech, up to the
+next mark; and over a bracket after it if the sentence goes on behind that.
+Thai units are parted by white space.
 """
 
 from __future__ import annotations
@@ -43,12 +45,33 @@ SOMETIMES = (
 )
 # German words before an ordinal number
 BEFORE_ORDINAL = "am der die das den dem des vom zum zur im beim ab bis seit und ein eine einem einen jeder jede jedes".split()
-# verbs of speech, as they stand after a name
+# verbs of speech, as they stand after a subject that is no name
 SPEECH = (
     "said says asked asks shouted shouts cried called replied answered whispered added laughed yelled murmured muttered "
     "explained insisted sang screamed continued rief sagte fragte schrie antwortete flüsterte cria dit demanda répondit "
     "murmura lança gritó dijo preguntó respondió exclamó contestó вигукнув вигукнула сказав сказала спитав спитала відповів".split()
 )
+# words that begin sentences and are no names
+OPENERS = (
+    "the a an this that these those he she it they we you i his her its their our my your one some many most all no each every both "
+    "another such what who which when where why how if as while although though because since until after before during in on at by "
+    "for from with without to into of over under and or but nor so yet then there here now later soon once only even just still never "
+    "always again meanwhile however instead perhaps maybe nobody everybody everyone someone nothing everything something anyone "
+    "der die das den dem ein eine einen er sie es wir ihr ich man niemand jemand alle alles viele wer was wo wann warum wie ohne mit "
+    "nach vor bei aus auf an im am zum zur und aber oder denn dann da hier jetzt nur noch nie immer "
+    "le la les un une il elle ils elles on nous vous je ce cette ces son sa ses mon ma mes personne tout tous chacun qui que quand où "
+    "et mais ou donc puis dans sur avec sans pour "
+    "el los las una uno unos ella ellos ellas yo nadie todo todos todas alguien este esta ese esa su sus mi mis quién cuando dónde y "
+    "pero o entonces en con sin para por "
+    "він вона воно вони ми ви я ти це цей ця ці той та те хто що коли де чому як якщо і й але або потім тут там ніхто усі всі у в на з без".split()
+)
+# words that come before the verb of a clause only where it says something else than who spoke
+OTHERWISE = (
+    "is was are were be been being am has have had do does did will would can could shall should may might must of in on at by for "
+    "from with to into onto over under after before through during since until and or but nor so because although though while when "
+    "where who which that whose not no also however then ist war sind waren hat hatte haben und oder est était sont a avait et es era "
+    "son fue ha había y є був була були і та".split()
+)
 
 _TERMINATORS = ".!?…。！？｡．।॥؟۔"
 _FULL_WIDTH = set("。！？｡．।॥؟۔")
@@ -65,6 +88,7 @@ _LINE = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85  ])[ \t]*")
 _STRUCTURE = re.compile(rf"[{re.escape(_TERMINATORS)}]+|[“”„«»()\[\]{{}}「」『』（）【】《》〈〉\"]|(?<=[ก-๛])\s+")
 _NAMED = re.compile(r"[^\W\d_]+\s+&\s+\w")
 _NEXT_WORDS = re.compile(r"[^\W\d_][\w'’-]*")
+_CLAUSE = re.compile(rf"[^{re.escape(_TERMINATORS)},;:“”„«»\"()\[\]]*")
 _UNSPACED = re.compile(r"[々-ヿ㐀-鿿豈-﫿ｦ-ﾟ」』）”》〉\U00020000-\U0003ffff]")
 _ACRONYM = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
 
@@ -128,6 +152,7 @@ class Automaton:
         tokens = [(m.start(), m.end()) for m in _STRUCTURE.finditer(text, self.start, end)]
         pairs = _matches([(a, text[a]) for a, b in tokens if b == a + 1 and (text[a] in _PAIRS or text[a] in _CLOSERS)])
         closing = set(pairs.values())
+        self.pairs = pairs
         items = self._items()
         out: list[tuple[int, int]] = []
         stack: list[int] = []  # closing places of what is open
@@ -265,8 +290,12 @@ class Automaton:
                     return not text.startswith(("と", "って"), s)
                 return False
             if c.isupper() and not named:
-                following = [m.group().lower() for m in _NEXT_WORDS.finditer(text, s, min(end, s + 80))][1:3]
-                return not any(w in SPEECH for w in following)
+                return not self._says_who(s)
+            if s in self.pairs:  # a bracket: what stands behind it decides
+                after = self.pairs[s] + 1
+                while after < end and text[after].isspace():
+                    after += 1
+                return after >= end or not (text[after].islower() or text[after] in _GO_ON)
             return True
         if whole:
             return True
@@ -274,6 +303,21 @@ class Automaton:
             return self._stop_ends(a, s, unit, small, named)
         return not small
 
+    def _says_who(self, s: int) -> bool:
+        """Whether the clause that starts with a capital at ``s`` says who spoke."""
+        named = None
+        for m in _NEXT_WORDS.finditer(self.text, s, _CLAUSE.match(self.text, s, self.end).end()):
+            word = m.group()
+            if named is None:
+                named = word.lower() not in OPENERS
+            elif word.lower() in SPEECH:
+                return True
+            elif word in OTHERWISE:
+                return False
+            elif named and word[0].islower():
+                return True
+        return False
+
     def _stop_ends(self, a: int, s: int, unit: int, small: bool, named: bool) -> bool:
         """Whether a single full stop at ``a`` ends the unit; the next thing stands at ``s``."""
         text, c = self.text, self.text[s]
@@ -298,8 +342,13 @@ class Automaton:
         if word.isdigit():
             if self._blank(unit, w):
                 return False  # the number of a list item
-            before = re.search(r"([^\W\d_]+)\s+$", text[max(unit, w - 30) : w])
-            if before and before.group(1).lower() in BEFORE_ORDINAL and c.isupper():
+            e = w
+            while e > unit and text[e - 1].isspace():
+                e -= 1
+            b = e
+            while b > unit and text[b - 1].isalpha():
+                b -= 1
+            if b < e < w and text[b:e].lower() in BEFORE_ORDINAL and c.isupper():
                 return False
         return True
 

@@ -97,3 +97,24 @@ def test_table(spark):
     got = [(r.doc_id, r.sentence, r.start_pos, r.end_pos, r.unit) for r in s.sentence_units(df).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 0, 4, "One."), (1, 1, 5, 9, "Two.")] * 2 + [(None, 0, 0, 5, "No id")], key=str)
     assert s.sentence_units(df.limit(0)).count() == 0
+
+
+def test_who_spoke_is_told_by_structure_whatever_the_distance():
+    def split(t):
+        return [t[a:b] for a, b in s.units(t)]
+
+    for said in ("Anna barked at him.", "Anna quickly and loudly said no.", "Mary Ann Lee-Smith muttered.", "She " + "very " * 60 + "softly said so.", "The man outside shouted."):
+        assert split(f'“Stop!” {said} Then.') == [f'“Stop!” {said}', "Then."]
+    for new in ("The crowd went home.", "Nobody moved.", "Everything was packed.", "Anna was late.", "Niemand kannte die Melodie.", "She had said so."):
+        assert split(f'“Stop!” {new}') == ["“Stop!”", new]
+
+
+def test_bracket_after_a_quotation():
+    text = 'I have played "When the Harvest Met!" (3 times, at least) and still miss it. End.'
+    assert [text[a:b] for a, b in s.units(text)] == [text[:-5], "End."]
+    text = '"Who?" (It was late.) Then.'
+    assert [text[a:b] for a, b in s.units(text)] == ['"Who?"', "(It was late.)", "Then."]
+
+
+def test_ordinals_behind_any_white_space():
+    assert len(s.units("Er kam am" + " \n" * 1 + " " * 5000 + "3. Mai an.")) == 1
