@@ -54,15 +54,19 @@ def dense_sparse_search(queries: DataFrame, chunks: DataFrame, k: int = 50) -> t
     return _songs_of(best, chunks), _statuses(queries, norms, NO_SIGNAL)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 50, *, approximate: bool = False, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 50, *, approximate: bool = False, index: tuple[DataFrame, knn.Lists] | None = None) -> tuple[DataFrame, DataFrame]:
     """Dense retrieval over given vectors: queries (query_id, embedding), vectors (chunk_id, song_id, embedding).
 
-    Queries without signal never reach the index.
+    Queries without signal never reach the index.  ``index`` (blocks, lists)
+    of a built index is searched instead of all vectors; ``approximate``
+    builds one for this search.
     """
     with_norm = queries.withColumn("query_norm", F.coalesce(norm(F.col("embedding")), F.lit(0.0)))
     asked = with_norm.where(F.col("query_norm") > NO_SIGNAL)
-    if approximate:
-        best = knn.approximate_top_k(asked, vectors, k, dim=dim)
+    if index is not None:
+        best = knn.probe_top_k(asked, *index, k)
+    elif approximate:
+        best = knn.approximate_top_k(asked, vectors, k)
     else:
         best = knn.exact_top_k(asked, vectors, k)
     status = with_norm.select(F.col("query_id").cast("string").alias("query_id"), _status(F.col("embedding").isNull(), F.col("query_norm") > NO_SIGNAL).alias("status"), "query_norm")
