@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,24 +73,33 @@ def bootstrap_mean(values: np.ndarray, confidence: float = 0.95, n_boot: int = 1
     return mean, float(low), float(high)
 
 
-def mean_ci(rows, keys: list[str], value: str, order: str, **how):
-    """Per group of ``keys``: n, mean and a bootstrap interval; values in order of ``order``.
+def mean_ci(rows: DataFrame, keys: list[str], value: str, *, confidence: float = 0.95, n_boot: int = 10_000, seed: int = 0) -> DataFrame:
+    """Per group of ``keys``: n, mean, ci_lo and ci_hi, the percentiles of resampled means; nulls are left out.
 
-    A group is one slice of an evaluation's queries.  Above a million values
-    the interval is the normal one, from sums alone.
+    A resample of n values is a multinomial draw of how often each distinct
+    value comes, so the rows are first counted by value, and a group is as
+    many rows as it has distinct values (ranking metrics have few).  One
+    method for groups of any size; ``bootstrap_mean`` draws the values
+    themselves, to the same distribution.  One value is its own interval.
     """
-    large = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    z = 1.959963984540054
-    half = F.lit(z) * F.col("sd") / F.sqrt("n")
-    by_sums = large.where("n > 1000000").select(*keys, "n", "mean", (F.col("mean") - half).alias("ci_lo"), (F.col("mean") + half).alias("ci_hi"))
-    small = rows.join(large.where("n <= 1000000").select(*keys), keys, "left_semi")
+    if not 0 < confidence < 1:
+        raise ValueError("confidence must lie between 0 and 1")
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    names = [*keys, "n", "mean", "ci_lo", "ci_hi"]
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[value]).sort_values(order)
-        if pdf.empty:
-            return pd.DataFrame({c: [] for c in [*keys, "n", "mean", "ci_lo", "ci_hi"]})
-        mean, low, high = bootstrap_mean(pdf[value].to_numpy(float), **how)
-        return pd.DataFrame([[*key, len(pdf), mean, low, high]], columns=[*keys, "n", "mean", "ci_lo", "ci_hi"])
+        pdf = pdf.sort_values("__x")
+        x, times = pdf["__x"].to_numpy(), pdf["__n"].to_numpy()
+        n = int(times.sum())
+        mean = float(x @ times / n)
+        if len(x) == 1:
+            return pd.DataFrame([[*key, n, mean, mean, mean]], columns=names)
+        rng = np.random.default_rng(seed)
+        block = max(1, 2_000_000 // len(x))
+        means = np.concatenate([rng.multinomial(n, times / n, size=min(block, n_boot - at)) @ x / n for at in range(0, n_boot, block)])
+        tail = (1 - confidence) / 2
+        low, high = np.quantile(means, [tail, 1 - tail])
+        return pd.DataFrame([[*key, n, mean, float(low), float(high)]], columns=names)
 
     schema = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + ["n bigint", "mean double", "ci_lo double", "ci_hi double"])
-    return small.select(*keys, value, order).groupBy(*keys).applyInPandas(one, schema).unionByName(by_sums)
+    return counted.groupBy(*keys).applyInPandas(one, schema)

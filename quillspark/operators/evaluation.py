@@ -58,7 +58,7 @@ def slice_table(metrics: DataFrame, dimensions: dict[str, DataFrame], *, interva
     rows = reduce(DataFrame.unionByName, parts)
     keys = [*by, "dimension", "value", "metric"]
     if intervals:
-        return mean_ci(rows, keys, "x", "query_id", n_boot=n_boot)
+        return mean_ci(rows, keys, "x", n_boot=n_boot)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -66,11 +66,11 @@ def judge_chunks(chunks: DataFrame) -> DataFrame:
 
     The first block by position stays; a null text counts as empty.
     """
-    hashed = chunks.withColumn("block", tx.hash_block(F.coalesce("text", F.lit(""))))
-    first = hashed.groupBy("song_id", "block").agg(F.min("position").alias("first_position"))
-    judged = hashed.join(first, ["song_id", "block"])
-    reason = F.when(F.col("position") > F.col("first_position"), "chunk_duplicate_block").when(F.length(F.coalesce("text", F.lit(""))) < MIN_CHUNK_CHARS, "chunk_too_short")
-    return judged.withColumn("reject_reason", reason).drop("block", "first_position")
+    hashed = chunks.withColumn("__block", tx.hash_block(F.coalesce("text", F.lit(""))))
+    # one shuffle, by song and block: a block's copies are few even where a song is long
+    first = F.min("position").over(Window.partitionBy("song_id", "__block"))
+    reason = F.when(F.col("position") > first, "chunk_duplicate_block").when(F.length(F.coalesce("text", F.lit(""))) < MIN_CHUNK_CHARS, "chunk_too_short")
+    return hashed.withColumn("reject_reason", reason).drop("__block")
 
 
 def preprocess(songs: DataFrame, strategy: str = "sections") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import salted_join
+from ..runtime import materialize, skewed_join
 
 MAX_DF, MAX_ATTEMPTS = 100, 3
 
@@ -16,10 +16,12 @@ def weighted_overlap(pairs: DataFrame, key: list[str], query_terms: Column, sour
     Terms are sets.  Terms without an idf are unknown and in no weight.  The
     ratio is 0 without any weight, the highest idf 0 without shared terms.
     """
-    base = pairs.select(*key, F.array_distinct(query_terms).alias("q"), F.coalesce(source_terms, F.array().cast("array<string>")).alias("s"))
-    terms = base.select(*key, F.explode("q").alias("term"), F.lit(True).alias("__in"))
-    held = base.select(*key, F.explode(F.array_distinct("s")).alias("term"), F.lit(True).alias("in_source"))
-    joined = salted_join(terms.join(held, [*key, "term"], "left"), idf.select("term", "idf"), ["term"], F.struct(*key), "left")
+    both = pairs.select(*key, F.array_distinct(query_terms).alias("q"), F.coalesce(source_terms, F.array().cast("array<string>")).alias("s"))
+    # a query's own terms with a mark whether its source has them: neither text nor terms of the source travel on
+    marked = F.transform("q", lambda t: F.struct(t.alias("term"), F.array_contains("s", t).alias("in_source")))
+    base = materialize(both.select(*key, marked.alias("terms")), "pairs")
+    terms = materialize(base.select(*key, F.explode("terms").alias("t")).select(*key, "t.*"), "pair_terms")
+    joined = skewed_join(terms, idf.select("term", "idf"), ["term"], F.struct(*key), "left")
     shared = F.col("in_source") & F.col("idf").isNotNull()
     sums = joined.groupBy(*key).agg(
         F.coalesce(F.sum(F.when(shared, F.col("idf"))), F.lit(0.0)).alias("weight_shared"),
@@ -74,7 +76,10 @@ def contamination(fragments: DataFrame, queries: DataFrame, idf: DataFrame, quer
     """
     q = queries.select("query_id", F.col("fragment_id").alias("own"), "group_no", F.explode(F.array_distinct(query_terms)).alias("term"))
     f = fragments.select("fragment_id", "group_no", F.explode(F.array_distinct("terms")).alias("term"))
-    met = q.join(f, ["group_no", "term"]).where(F.col("own") != F.col("fragment_id")).join(idf.select("term", "idf"), "term")
+    # a group is ``group_size`` fragments, so a (group, term) pair meets few; many queries of one fragment are spread
+    q = materialize(q, "group_terms")
+    met = skewed_join(q, f, ["group_no", "term"], F.col("query_id")).where(F.col("own") != F.col("fragment_id"))
+    met = skewed_join(met, idf.select("term", "idf"), ["term"], F.col("query_id"), counted=q)
     per_pair = met.groupBy("query_id", "fragment_id").agg(F.max("idf").alias("idf"))
     worst = F.min(F.struct((-F.round("idf", 6)).alias("neg"), F.col("fragment_id").alias("fragment_id"))).alias("m")
     return per_pair.groupBy("query_id").agg(worst).select("query_id", F.col("m.fragment_id").alias("other_fragment"), (-F.col("m.neg")).alias("max_other_idf"))

@@ -46,13 +46,6 @@ def arm_comparison(spark: SparkSession, d: str) -> DataFrame:
     return _arm_metrics(spark, d).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col(f"`{m}`")), 6).alias(m) for m in METRICS])
 
 
-_ARM = "dense-cos"
-
-
-def _one_arm(spark: SparkSession, d: str) -> DataFrame:
-    return _arm_metrics(spark, d).where(F.col("arm") == _ARM)
-
-
 _SPLIT = """cl AS (SELECT song_id, CASE WHEN min(split_by) = max(split_by) THEN min(split_by) WHEN count(split_by) > 0 THEN 'mixed' ELSE 'mixed' END || '/force_split=' || CASE WHEN bool_or(coalesce(force_split, false)) THEN 'True' ELSE 'False' END AS label FROM chunks1 GROUP BY 1),
 sl AS (SELECT song_id, coalesce(label, '(unknown)') AS label FROM songs1 LEFT JOIN cl USING (song_id)),
 rel1 AS (SELECT query_id, unnest(CASE WHEN len(relevant_song_ids) > 0 THEN relevant_song_ids ELSE [NULL] END) AS song_id FROM evals1),
@@ -82,26 +75,11 @@ def _slices(spark: SparkSession, d: str, metrics: DataFrame, **how) -> DataFrame
     return ev.slice_table(metrics, dims, **how)
 
 
-_ALL_LONG = " UNION ALL ".join(f"SELECT query_id, arm, '{m}' AS metric, \"{m}\" AS x FROM m" for m in METRICS)
-_LONG = " UNION ALL ".join(f"SELECT query_id, '{m}' AS metric, \"{m}\" AS x FROM m WHERE arm = '{_ARM}'" for m in METRICS)
+_LONG = " UNION ALL ".join(f"SELECT query_id, arm, '{m}' AS metric, \"{m}\" AS x FROM m" for m in METRICS)
 
 
 @query(
     f"""WITH {_OUT}, {SONGS}, {CHUNKS}, {_SPLIT}, long AS ({_LONG}),
-d AS (SELECT 'overall' AS dimension, 'all' AS value, metric, x FROM long
-    UNION ALL SELECT 'split_by', coalesce(value, '(none)'), metric, x FROM long LEFT JOIN ql USING (query_id)
-    UNION ALL SELECT 'is_translation', coalesce(value, '(none)'), metric, x FROM long LEFT JOIN tl USING (query_id)
-    UNION ALL SELECT 'query_type', coalesce(query_type, '(none)'), metric, x FROM long LEFT JOIN evals1 USING (query_id)
-    UNION ALL SELECT 'stratum', coalesce(lower(trim(stratum)), '(none)'), metric, x FROM long LEFT JOIN evals1 USING (query_id))
-SELECT dimension, value, metric, count(*) AS n, round(avg(x), 6) AS mean FROM d GROUP BY ALL"""
-)
-def eval_slices(spark: SparkSession, d: str) -> DataFrame:
-    """The slices of the arm its SQL names; ``arm_slices`` has all arms."""
-    return _slices(spark, d, _one_arm(spark, d)).withColumn("mean", F.round("mean", 6))
-
-
-@query(
-    f"""WITH {_OUT}, {SONGS}, {CHUNKS}, {_SPLIT}, long AS ({_ALL_LONG}),
 d AS (SELECT arm, 'overall' AS dimension, 'all' AS value, metric, x FROM long
     UNION ALL SELECT arm, 'split_by', coalesce(value, '(none)'), metric, x FROM long LEFT JOIN ql USING (query_id)
     UNION ALL SELECT arm, 'is_translation', coalesce(value, '(none)'), metric, x FROM long LEFT JOIN tl USING (query_id)
@@ -109,7 +87,7 @@ d AS (SELECT arm, 'overall' AS dimension, 'all' AS value, metric, x FROM long
     UNION ALL SELECT arm, 'stratum', coalesce(lower(trim(stratum)), '(none)'), metric, x FROM long LEFT JOIN evals1 USING (query_id))
 SELECT arm, dimension, value, metric, count(*) AS n, round(avg(x), 6) AS mean FROM d GROUP BY ALL"""
 )
-def arm_slices(spark: SparkSession, d: str) -> DataFrame:
+def eval_slices(spark: SparkSession, d: str) -> DataFrame:
     return _slices(spark, d, _arm_metrics(spark, d), by=("arm",)).withColumn("mean", F.round("mean", 6))
 
 

@@ -270,7 +270,7 @@ def test_bootstrap():
 def test_intervals_of_all_arms(spark, tables):
     arms = {r.arm for r in queries.arm_comparison(spark, tables).collect()}
     rows = queries.eval_intervals(spark, tables).collect()
-    slices = queries.arm_slices(spark, tables).collect()
+    slices = queries.eval_slices(spark, tables).collect()
     assert len(arms) == 6 and {r.arm for r in rows} == arms
     key = lambda r: (r.arm, r.dimension, r.value, r.metric, r.n)
     assert sorted(map(key, rows)) == sorted(map(key, slices))
@@ -279,9 +279,25 @@ def test_intervals_of_all_arms(spark, tables):
         values.setdefault(r.arm, []).append(r.MRR)
     for r in rows:
         if (r.dimension, r.metric) == ("overall", "MRR"):
-            x = np.array(values[r.arm])
-            means = x[np.random.default_rng(0).integers(0, len(x), size=(10_000, len(x)))].mean(axis=1)
-            assert (r.ci_lo, r.ci_hi) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-5)
+            # the draws of values and of their counts have one distribution
+            mean, low, high = m.bootstrap_mean(np.array(values[r.arm]))
+            assert r.mean == pytest.approx(mean, abs=1e-5) and (r.ci_lo, r.ci_hi) == pytest.approx((low, high), abs=0.1 * (high - low))
+
+
+def test_intervals_are_one_method_at_every_size(spark):
+    rng = np.random.default_rng(1)
+    rows = [("few", float(x)) for x in (0, 1, 1, 0.5)] + [("one", 0.3), ("same", 0.5), ("same", 0.5), ("none", None)]
+    rows += [("many", float(x)) for x in rng.choice([0, 0.2, 1], 3000)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r for r in m.mean_ci(df, ["g"], "x").collect()}
+    assert set(got) == {"few", "one", "same", "many"} and (got["one"].ci_lo, got["one"].ci_hi) == (0.3, 0.3) and got["same"].ci_hi == 0.5
+    for g in ("few", "many"):
+        mean, low, high = m.bootstrap_mean(np.array([x for k, x in rows if k == g]))
+        assert got[g].mean == pytest.approx(mean) and (got[g].ci_lo, got[g].ci_hi) == pytest.approx((low, high), abs=0.05 * (high - low))
+    wide, narrow = (m.mean_ci(df.where("g = 'many'"), ["g"], "x", confidence=c).first() for c in (0.99, 0.5))
+    assert wide.ci_lo < got["many"].ci_lo < narrow.ci_lo < narrow.ci_hi < got["many"].ci_hi < wide.ci_hi
+    with pytest.raises(ValueError):
+        m.mean_ci(df, ["g"], "x", confidence=1.0)
 
 
 def test_labels_and_slices(spark):
