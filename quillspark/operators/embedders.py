@@ -78,6 +78,27 @@ def overflow_report(docs: DataFrame, lengths: Column, limit: int) -> DataFrame:
     return docs.select(lengths.alias("n")).agg(F.coalesce(F.sum((F.col("n") > limit).cast("bigint")), F.lit(0)).alias("n_over"), F.max("n").alias("longest"))
 
 
+def overflow_sample(docs: DataFrame, doc: str, lengths: Column, limit: int, n: int = 5) -> DataFrame:
+    """(doc, n_tokens): the first ``n`` texts, by id, that are longer than a model takes."""
+    return docs.select(doc, lengths.alias("n_tokens")).where(F.col("n_tokens") > limit).orderBy(doc).limit(n)
+
+
+def token_lengths(docs: DataFrame, doc: str, text: str, tokenizer_file: str, *, is_query: bool = False, prefix: bool = False) -> DataFrame:
+    """(doc, n_tokens) by a tokenizer file, special tokens included, of what a model would be given; null texts have 0."""
+    given = F.coalesce(with_prefix(F.col(text), is_query) if prefix else F.col(text), F.lit(""))
+
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(tokenizer_file)
+        encoder.no_truncation()
+        for pdf in batches:
+            lengths = [len(e.ids) for at in range(0, len(pdf), 1000) for e in encoder.encode_batch(pdf["text"].iloc[at : at + 1000].tolist())]
+            yield pdf[[doc]].assign(n_tokens=lengths)
+
+    return docs.select(doc, given.alias("text")).mapInPandas(run, f"{doc} {docs.schema[doc].dataType.simpleString()}, n_tokens int")
+
+
 def half_precision(vectors: DataFrame, item: str, vector: str = "embedding") -> DataFrame:
     """Vectors rounded through 16-bit floats, as stored vectors are."""
     import numpy as np

@@ -49,7 +49,8 @@ def fragment_per_song(songs: DataFrame, chunks: DataFrame, seed: int, min_chars:
 
 def batch_slice(df: DataFrame, order: list[Column], batch: int, size: int) -> DataFrame:
     """Rows of the given batch (from 0) in the given order."""
-    return df.orderBy(*order).offset(batch * size).limit(size)
+    numbered = ranked(df, [], order, "__n", "batches")
+    return numbered.where(F.col("__n").between(batch * size + 1, (batch + 1) * size)).drop("__n")
 
 
 def grouped(df: DataFrame, key: str, size: int) -> DataFrame:

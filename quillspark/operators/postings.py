@@ -1,18 +1,18 @@
 """Inverted tables: term frequencies, tf-idf weights and BM25 scores.
 
 The corpus is tokenised once into (doc, term, tf); everything after that is
-joins on the term.  Common terms are hot keys, so these joins are salted by
-document or query.
+joins on the term.  Vocabularies and query terms are counted and broadcast up
+to a stated number of rows; beyond it the joins are salted by document or query.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, salted_join
+from ..runtime import counted_join, discard, materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows of query terms (about 50 bytes each) that are broadcast at most.
@@ -74,7 +74,8 @@ def tfidf_vectors(docs: DataFrame | None, doc: str, tokens: Column, model: TfIdf
     ``without_signal``).
     """
     post = model.postings if docs is None else postings(docs, doc, tokens)
-    post = salted_join(post, model.idf.select("term", "idf"), ["term"], F.col(doc))
+    # a vocabulary is counted; up to BROADCAST_TERMS rows it is broadcast and the postings stay where they are
+    post = counted_join(post, model.idf.select("term", "idf"), ["term"], F.col(doc), most=BROADCAST_TERMS)
     weighed = post.select(doc, "term", (F.col("tf") * F.col("idf")).alias("w"))
     # the terms of one document are never more than its text
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
@@ -92,6 +93,22 @@ def sparse_scores(queries: DataFrame, query: str, corpus: DataFrame, doc: str) -
     return met.groupBy(query, doc).agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
 
 
+def fitted_scores(queries: DataFrame, query: str, model: TfIdf, doc: str) -> DataFrame:
+    """``sparse_scores`` of the documents a model was fitted on, straight from its postings.
+
+    Only a length per document is worked out for all of them (the postings of
+    a document lie together, so its sum is made where they lie); weights are
+    made for the postings of asked terms alone.
+    """
+    idf = model.idf.select("term", "idf")
+    weighed = counted_join(model.postings, idf, ["term"], F.col(doc), most=BROADCAST_TERMS)
+    norms = weighed.groupBy(doc).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
+    met = _meet(queries.select(query, "term", F.col("weight").alias("qw")), model.postings, query, doc)
+    met = counted_join(met, idf, ["term"], F.col(doc), most=BROADCAST_TERMS)
+    sums = met.groupBy(query, doc).agg(F.sum(F.col("qw") * F.col("tf") * F.col("idf")).alias("s"))
+    return sums.join(norms, doc).select(query, doc, (F.col("s") / F.col("norm")).alias("score"))
+
+
 def _meet(queries: DataFrame, corpus: DataFrame, query: str, doc: str, salts: int = 16) -> DataFrame:
     """Join of query terms and postings on the term.
 
@@ -125,7 +142,9 @@ def fit_bm25(docs: DataFrame, doc: str, tokens: Column) -> Bm25:
     each = docs.select(doc, F.explode_outer(tokens).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
     dl = F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).over(Window.partitionBy(doc)), F.lit(0))
     table = materialize(each.withColumn("dl", dl), "postings")
+    # the rows of a document lie together, so most of it is one row a document before the shuffle; written, as two readers follow
     size = table.groupBy(doc).agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    size = materialize(size, "bm25_size")
     post = table.where("term is not null")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(size)).select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
@@ -135,6 +154,27 @@ def fit_bm25(docs: DataFrame, doc: str, tokens: Column) -> Bm25:
     return Bm25(post, idf, stats)
 
 
+def save_bm25(model: Bm25, path: str) -> None:
+    """Write the index: postings sorted by term, so that a search reads the row groups of its terms only."""
+    model.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    model.idf.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/idf")
+    model.stats.write.parquet(f"{path}/stats")
+
+
+def load_bm25(spark: SparkSession, path: str) -> Bm25:
+    return Bm25(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "idf", "stats")))
+
+
+#: Distinct terms that are pushed down to the scan of an index as a list at most.
+PUSHED_TERMS = 2_000
+
+
+def of_terms(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows whose term is asked for.  A few terms (they are counted) become a filter of the scan."""
+    terms = [r.term for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    return rows.where(F.col("term").isin(terms)) if len(terms) <= PUSHED_TERMS else rows
+
+
 def query_bag(queries: DataFrame, query: str, tokens: Column) -> DataFrame:
     """(query, term, qtf): the tokens of each query with repetition counted."""
     return postings(queries, query, tokens).withColumnRenamed("tf", "qtf")
@@ -142,7 +182,7 @@ def query_bag(queries: DataFrame, query: str, tokens: Column) -> DataFrame:
 
 def bm25_scores(bag: DataFrame, query: str, model: Bm25, doc: str) -> DataFrame:
     """(query, doc, score) of all documents that hold a query token."""
-    known = salted_join(bag, model.idf.select("term", "idf"), ["term"], F.col(query))
+    known = counted_join(bag, model.idf.select("term", "idf"), ["term"], F.col(query), most=BROADCAST_TERMS)
     met = _meet(known, model.postings, query, doc).crossJoin(F.broadcast(model.stats.select("avgdl")))
     tf, dl = F.col("tf"), F.col("dl")
     gain = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))

@@ -45,10 +45,9 @@ def dense_sparse_search(queries: DataFrame, chunks: DataFrame, k: int = 50) -> t
     """
     terms = tx.tfidf_terms(F.col("text"))
     model = inv.fit_tfidf(chunks, "chunk_id", terms)
-    corpus = inv.tfidf_vectors(None, "chunk_id", terms, model)
     asked = inv.tfidf_vectors(queries.where(~is_blank(F.col("query"))), "query_id", tx.tfidf_terms(F.col("query")), model)
     asked = materialize(asked, "query_vectors")
-    scored = inv.sparse_scores(asked, "query_id", corpus, "chunk_id").withColumn("score", F.round("score", DECIMALS))
+    scored = inv.fitted_scores(asked, "query_id", model, "chunk_id").withColumn("score", F.round("score", DECIMALS))
     best = fusion.top_k(scored.where("score > 0"), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
     norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("query_norm"))
     return _songs_of(best, chunks), _statuses(queries, norms, NO_SIGNAL)
@@ -85,19 +84,25 @@ def _statuses(queries: DataFrame, norms: DataFrame, least: float) -> DataFrame:
     return joined.select("query_id", _status(F.col("blank"), F.col("query_norm") > least).alias("status"), F.when(F.col("blank"), 0.0).otherwise(F.col("query_norm")).alias("query_norm"))
 
 
-def lexical_search(queries: DataFrame, songs: DataFrame, chunks: DataFrame, k: int = 50, *, on_missing_chunk: str = "null") -> tuple[DataFrame, DataFrame]:
+def fit_lexical(songs: DataFrame) -> inv.Bm25:
+    """The BM25 index of whole songs, rejected ones too."""
+    return inv.fit_bm25(songs, "song_id", tx.tokenize_words(F.coalesce("text_raw", F.lit(""))))
+
+
+def lexical_search(queries: DataFrame, songs: DataFrame, chunks: DataFrame, k: int = 50, *, index: inv.Bm25 | None = None, on_missing_chunk: str = "null") -> tuple[DataFrame, DataFrame]:
     """BM25 over whole songs, then the best chunk of the songs that are left.
 
     All songs count, rejected ones too.  The best chunk is the one with the
     highest sum of idf of the query's tokens it holds, ties to the earlier
     position.  A song without chunks keeps its place with a null chunk, or
     raises with ``on_missing_chunk='error'``.  query_norm is the number of
-    query tokens the vocabulary knows, with repetition.
+    query tokens the vocabulary knows, with repetition.  With ``index``, a
+    written one, only the postings of asked terms are read and ``songs`` not at all.
     """
-    model = inv.fit_bm25(songs, "song_id", tx.tokenize_words(F.coalesce("text_raw", F.lit(""))))
     bag = materialize(inv.query_bag(queries.where(~is_blank(F.col("query"))), "query_id", tx.tokenize_words(F.col("query"))), "bag")
-    idf = materialize(model.idf, "idf")
-    model = inv.Bm25(model.postings, idf, model.stats)
+    model = index if index is not None else fit_lexical(songs)
+    idf = materialize(inv.of_terms(model.idf, bag).join(bag.select("term").distinct(), "term", "left_semi"), "idf")
+    model = inv.Bm25(inv.of_terms(model.postings, bag), idf, model.stats)
     scored = inv.bm25_scores(bag, "query_id", model, "song_id").withColumn("score", F.round("score", DECIMALS)).where("score > 0")
     best = materialize(fusion.top_k(scored, ["query_id"], [F.desc("score"), F.asc("song_id")], k), "lexical")
     chosen = best_chunks(best, bag, idf, chunks)
@@ -152,8 +157,11 @@ def trim(hits: DataFrame, return_n: int = 10) -> DataFrame:
 
 
 def show_hits(hits: DataFrame, songs: DataFrame, chunks: DataFrame, return_n: int = 10) -> DataFrame:
-    """Display rows: artist, title and a snippet of the best chunk, joined last."""
+    """Display rows: artist, title and a snippet of the best chunk, joined last; a hit on a song that is not there raises when it is read."""
     shown = trim(hits, return_n)
-    named = shown.join(songs.select("song_id", "artist", "title"), "song_id", "left")
+    known = songs.select("song_id", "artist", "title", F.lit(True).alias("__known"))
+    named = shown.join(known, "song_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no such song: "), F.col("song_id"))).cast("string")
+    named = named.withColumn("song_id", F.when(F.col("__known"), F.col("song_id")).otherwise(missing))
     text = chunks.select(F.col("chunk_id").alias("best_chunk_id"), tx.snippet(F.col("text")).alias("snippet"))
     return named.join(text, "best_chunk_id", "left").select("query_id", "rank", "song_id", "artist", "title", F.round("score", 4).alias("score"), "snippet")

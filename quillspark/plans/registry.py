@@ -126,11 +126,10 @@ class ExactIndex:
 
 
 @dataclass(frozen=True)
-class HyperplaneIndex:
-    """Bands of signs against random hyperplanes, scored exactly; dense vectors only."""
+class ListIndex:
+    """Inverted lists fitted on a sample, scored exactly; dense vectors only."""
 
-    bits: int = 8
-    bands: int = 24
+    target: float = 0.95
     approximate = True
 
     def check(self, sparse: bool) -> None:
@@ -140,5 +139,6 @@ class HyperplaneIndex:
 
 INDEXES.register("numpy")(ExactIndex)
 INDEXES.register("exact")(ExactIndex)
-INDEXES.register("faiss-hnsw")(HyperplaneIndex)
-INDEXES.register("hyperplanes")(HyperplaneIndex)
+# Names of approximate indexes in configuration files; each is served by inverted lists.
+for _name in ("faiss", "faiss-hnsw", "lists"):
+    INDEXES.register(_name)(ListIndex)

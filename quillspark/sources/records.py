@@ -1,13 +1,16 @@
-"""Scans of the other records: evaluation sets, replies, themes, word vectors, query lists."""
+"""Scans of the other records: evaluation sets, replies, themes, pools, judgements, word vectors, query lists."""
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..runtime import materialize
+from ..runtime import materialize, ranked
 from ..schemas import REPLY, STRATA, THEME
 
 
@@ -21,6 +24,70 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file", F.posexplode(F.split("text", "\r?\n")).alias("n", "value")).select("file", (F.col("n") + 1).alias("line"), "value")
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files of any size, lines from 1.
+
+    Files are read in splits; a line's place is that of its split and its
+    place in it, and the number comes from a distributed ranking.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    return ranked(rows, ["file"], [F.asc("start"), F.asc("at")], "line", "lines").select("file", "line", "value")
+
+
+def write_with_meta(df: DataFrame, path: str, meta: dict, order: list[str]) -> None:
+    """Records as JSON lines in order behind a first line ``{"_meta": ...}``, in one folder; it must not be there yet.
+
+    Rows are range-partitioned by ``order``, so the part files follow each
+    other in order and no task sees all rows.
+    """
+    spark = df.sparkSession
+    head = spark.createDataFrame([(json.dumps({"_meta": meta}, ensure_ascii=False, sort_keys=True),)], "value string")
+    lines = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    head.coalesce(1).union(lines).write.mode("errorifexists").text(path)
+
+
+def read_with_meta(spark: SparkSession, path: str, schema: T.StructType) -> tuple[dict, DataFrame]:
+    """(the file's own description, its records) of what ``write_with_meta`` wrote; no description is an empty one."""
+    lines = spark.read.text(path).where(tx.strip(F.col("value")) != "")
+    head = lines.where(is_meta(F.col("value"))).limit(1).collect()
+    return (json.loads(head[0].value)["_meta"] if head else {}), lines.where(~is_meta(F.col("value"))).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def replace_with_meta(df: DataFrame, path: str, meta: dict, order: list[str]) -> None:
+    """``write_with_meta`` over an older folder: written beside it and renamed into its place when it is whole."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, old, at = (hadoop.Path(f"{path}{end}") for end in (".new", ".old", ""))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(new, True)
+    write_with_meta(df, f"{path}.new", meta, order)
+    fs.delete(old, True)
+    if fs.exists(at):
+        fs.rename(at, old)
+    fs.rename(new, at)
+    fs.delete(old, True)
+
+
+def genre_lookup(spark: SparkSession, root: str, corpus: str) -> DataFrame:
+    """(song_id, genre) of a corpus; a missing table raises naming what builds it."""
+    path = f"{root}/{corpus}/genres"
+    try:
+        return spark.read.parquet(path).select("song_id", "genre")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no genre table at {path}; make it with records.write_genre_lookup") from e
+        raise
+
+
+def write_genre_lookup(rows: DataFrame, songs: DataFrame, root: str, corpus: str, order: str = "id") -> DataFrame:
+    """Write the lookup of ``ingest.build_lookup`` for the songs of a corpus; returns its statistics."""
+    from ..operators.ingest import build_lookup
+
+    lookup, stats = build_lookup(rows, songs, "song_id", order, "genre")
+    lookup.write.mode("overwrite").parquet(f"{root}/{corpus}/genres")
+    return stats
+
+
 def is_meta(value: Column) -> Column:
     """Whether a JSON line is a file's own description and no record."""
     return F.get_json_object(value, "$._meta").isNotNull()
@@ -54,8 +121,8 @@ def eval_set(spark: SparkSession, path: str, known_songs: DataFrame, strata: tup
         raise ValueError(f"{first[0].file}:{first[0].line}: {first[0].problem}")
     if not checked.take(1):
         raise ValueError(f"{path}: no queries")
-    order = Window.orderBy("file", "line")  # an evaluation set is written by hand
-    return checked.select((F.row_number().over(order)).cast("bigint").alias("query_id"), "query", F.array_distinct("relevant_song_ids").alias("relevant_song_ids"), "query_type", "stratum")
+    numbered = ranked(checked, [], [F.asc("file"), F.asc("line")], "query_id", "eval_ids")
+    return numbered.select("query_id", "query", F.array_distinct("relevant_song_ids").alias("relevant_song_ids"), "query_type", "stratum")
 
 
 def query_list(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +163,7 @@ def probe_report(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = numbered_lines(spark, path)
     w = Window.partitionBy("file").orderBy("line")
-    header = F.when(F.col("value").startswith("QUERY: "), tx.strip(F.substring(F.col("value"), 8, 10_000)))
+    header = F.when(F.col("value").startswith("QUERY: "), tx.strip(F.substr(F.col("value"), F.lit(8))))
     number = F.regexp_extract("value", r"^\s*(\d+)\. ", 1)
     marked = lines.withColumn("query", F.last(header, ignorenulls=True).over(w)).withColumn("number", F.when(number != "", number.cast("int")))
     marked = marked.where("query is not null and not startswith(value, 'QUERY: ')").withColumn("opened", F.last("number", ignorenulls=True).over(Window.partitionBy("file", "query").orderBy("line")))
@@ -109,28 +176,35 @@ def probe_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(word, vector) of a .vec text file: one header line, then a word and its numbers a line.
+    """(n, word, vector) of a .vec text file: one header line, then a word and its numbers a line.
 
     A limit keeps the first words of the file, as frequent words come first.
     """
-    numbered = spark.read.text(path).select("value").rdd.zipWithIndex().map(lambda p: (p[1], p[0][0]))  # the order of the file is the frequency
-    rows = spark.createDataFrame(numbered, "n bigint, value string").where("n > 0")
+    rows = file_lines(spark, path).select((F.col("line") - 1).alias("n"), "value").where("n > 0")  # the order of the file is the frequency
     if limit is not None:
         rows = rows.where(F.col("n") <= limit)
     parts = F.split(F.rtrim("value"), " ")
-    return rows.select(F.get(parts, F.lit(0)).alias("word"), F.slice(parts, 2, F.size(parts)).cast("array<float>").alias("vector"))
+    return rows.select("n", F.get(parts, F.lit(0)).alias("word"), F.slice(parts, 2, F.size(parts)).cast("array<float>").alias("vector"))
 
 
 def convert_word_vectors(spark: SparkSession, vec_path: str, out_path: str, limit: int, overwrite: bool = False) -> str:
-    """A .vec file as Parquet at ``<out_path>.limit<N>``; raises if it holds fewer words, or exists already."""
+    """A .vec file as Parquet at ``<out_path>.limit<N>``, in order of n.
+
+    Raises if it exists already, holds fewer words, or gives back other words
+    at some place than the text file.
+    """
     where = f"{out_path}.limit{limit}"
-    word_vectors(spark, vec_path, limit).write.mode("overwrite" if overwrite else "errorifexists").parquet(where)
+    rows = word_vectors(spark, vec_path, limit)
+    rows.repartitionByRange("n").sortWithinPartitions("n").write.mode("overwrite" if overwrite else "errorifexists").parquet(where)
     load_word_vectors(spark, where, limit)
+    again = spark.read.parquet(where).select("n", F.col("word").alias("kept"))
+    if rows.join(again, "n", "full").where(~F.col("word").eqNullSafe(F.col("kept"))).take(1):
+        raise ValueError(f"{where} does not hold the words of {vec_path} in their order")
     return where
 
 
 def load_word_vectors(spark: SparkSession, path: str, limit: int) -> DataFrame:
-    table = spark.read.schema(T.StructType([T.StructField("word", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))])).parquet(path)
+    table = spark.read.schema("word string, vector array<float>").parquet(path)
     if (n := table.count()) != limit:
         raise ValueError(f"{path} holds {n} words, not {limit}")
     return table

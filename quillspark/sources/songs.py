@@ -50,7 +50,8 @@ class JsonlSongs:
 
     text_raw falls back to lyrics, then to empty; a missing or empty song_id
     is made from artist and title; blank lines are skipped.  A line that is
-    no JSON, or lacks artist or title, raises naming the file and the line.
+    no JSON, or lacks artist or title, raises when it is read, naming the file
+    and the beginning of the line; ``faults`` has the numbers of all such lines.
     """
 
     path: str
@@ -71,6 +72,17 @@ class JsonlSongs:
         )
 
 
+    def faults(self, spark: SparkSession) -> DataFrame:
+        """(file, line, problem) of the lines that would raise."""
+        from .records import file_lines
+
+        lines = file_lines(spark, self.path).where(tx.strip(F.col("value")) != "")
+        fields = T.StructType([T.StructField(c, T.StringType()) for c in ("artist", "title", "_corrupt")])
+        r = lines.select("file", "line", F.from_json("value", fields, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+        problem = F.when(F.col("r._corrupt").isNotNull(), "not a JSON record").when(F.col("r.artist").isNull(), "artist is missing").when(F.col("r.title").isNull(), "title is missing")
+        return r.select("file", "line", problem.alias("problem")).where("problem is not null")
+
+
 @dataclass(frozen=True)
 class SongRows:
     """Rows held in memory, for tests and demos."""
