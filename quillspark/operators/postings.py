@@ -93,22 +93,6 @@ def sparse_scores(queries: DataFrame, query: str, corpus: DataFrame, doc: str) -
     return met.groupBy(query, doc).agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
 
 
-def fitted_scores(queries: DataFrame, query: str, model: TfIdf, doc: str) -> DataFrame:
-    """``sparse_scores`` of the documents a model was fitted on, straight from its postings.
-
-    Only a length per document is worked out for all of them (the postings of
-    a document lie together, so its sum is made where they lie); weights are
-    made for the postings of asked terms alone.
-    """
-    idf = model.idf.select("term", "idf")
-    weighed = counted_join(model.postings, idf, ["term"], F.col(doc), most=BROADCAST_TERMS)
-    norms = weighed.groupBy(doc).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-    met = _meet(queries.select(query, "term", F.col("weight").alias("qw")), model.postings, query, doc)
-    met = counted_join(met, idf, ["term"], F.col(doc), most=BROADCAST_TERMS)
-    sums = met.groupBy(query, doc).agg(F.sum(F.col("qw") * F.col("tf") * F.col("idf")).alias("s"))
-    return sums.join(norms, doc).select(query, doc, (F.col("s") / F.col("norm")).alias("score"))
-
-
 def _meet(queries: DataFrame, corpus: DataFrame, query: str, doc: str, salts: int = 16) -> DataFrame:
     """Join of query terms and postings on the term.
 

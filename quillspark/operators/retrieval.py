@@ -47,7 +47,7 @@ def dense_sparse_search(queries: DataFrame, chunks: DataFrame, k: int = 50) -> t
     model = inv.fit_tfidf(chunks, "chunk_id", terms)
     asked = inv.tfidf_vectors(queries.where(~is_blank(F.col("query"))), "query_id", tx.tfidf_terms(F.col("query")), model)
     asked = materialize(asked, "query_vectors")
-    scored = inv.fitted_scores(asked, "query_id", model, "chunk_id").withColumn("score", F.round("score", DECIMALS))
+    scored = inv.sparse_scores(asked, "query_id", inv.tfidf_vectors(None, "chunk_id", terms, model), "chunk_id").withColumn("score", F.round("score", DECIMALS))
     best = fusion.top_k(scored.where("score > 0"), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
     norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("query_norm"))
     return _songs_of(best, chunks), _statuses(queries, norms, NO_SIGNAL)

@@ -57,7 +57,12 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return shown.select("chunk_id", tx.snippet(c).alias("snippet"), tx.preview(c).alias("preview"), tx.one_line_preview(c).alias("one_line"), tx.truncate(c, 40).alias("short"))
 
 
-@query()
+@query(
+    rf"""WITH {SONGS}, l AS (SELECT song_id, list_transform(string_split(text_raw, chr(10)), lambda x: regexp_replace(x, '{WS}+$', '')) AS ls FROM songs1 WHERE text_raw IS NOT NULL),
+f AS (SELECT song_id, ls, list_min(list_filter(range(1, len(ls) + 1), lambda i: ls[i] <> '')) AS first FROM l),
+b AS (SELECT song_id, CASE WHEN first IS NULL THEN [] ELSE ls[first:] END AS body FROM f)
+SELECT song_id, array_to_string(body[1:8], chr(10)) || CASE WHEN len(body) > 8 THEN chr(10) || '… ' || (len(body) - 8) || ' more lines' ELSE '' END AS block FROM b"""
+)
 def lyrics_blocks(spark: SparkSession, d: str) -> DataFrame:
     return songs(spark, d).where("text_raw is not null").select("song_id", tx.lyrics_block(F.col("text_raw")).alias("block"))
 
@@ -157,7 +162,30 @@ def whole_songs(spark: SparkSession, d: str) -> DataFrame:
     return sections.chunk_songs(songs(spark, d), "whole_song").select("song_id", F.md5("text").alias("text"))
 
 
-@query()
+# the packing of lines is a fold, one step of the recursion a line
+_LINE_WORDS = words_sql("line")
+_LONG_LINE = rf"""CASE WHEN NOT contains(regexp_replace(line, '([.!?]){WS}+', '\1' || chr(3), 'g'), chr(3))
+    THEN list_transform(range(0, ceil({_LINE_WORDS} / 120)::BIGINT), lambda g: array_to_string(regexp_extract_all(line, '[^{WS[1:]}+')[g * 120 + 1 : g * 120 + 120], ' '))
+    ELSE list_filter(string_split(regexp_replace(line, '([.!?]){WS}+', '\1' || chr(3), 'g'), chr(3)), lambda x: {strip_sql('x')} <> '') END"""
+_PACKED = rf"""pieces AS (SELECT song_id, position, section, CASE WHEN len(ps) > 1 THEN 'blank_line' ELSE split_by END AS split_by, CASE WHEN len(ps) > 1 THEN ps ELSE [text] END AS texts FROM bl),
+ref AS (SELECT song_id, position, generate_subscripts(texts, 1) AS j, section, split_by, unnest(texts) AS text FROM pieces),
+big AS (SELECT song_id, position, j, list_filter(string_split(text, chr(10)), lambda x: {strip_sql('x')} <> '') AS ls FROM ref WHERE {words_sql('text')} > 120),
+fold AS (SELECT song_id, position, j, ls, 0::BIGINT AS i, []::VARCHAR[] AS done, '' AS cur, 0::BIGINT AS n FROM big
+    UNION ALL SELECT song_id, position, j, ls, i + 1,
+        CASE WHEN lw > 120 THEN list_concat(flushed, {_LONG_LINE}) WHEN (CASE WHEN n + lw > 120 THEN lw ELSE n + lw END) >= 80 THEN list_append(CASE WHEN n + lw > 120 THEN flushed ELSE done END, CASE WHEN n + lw > 120 OR cur = '' THEN line ELSE cur || chr(10) || line END)
+            WHEN n + lw > 120 THEN flushed ELSE done END,
+        CASE WHEN lw > 120 OR (CASE WHEN n + lw > 120 THEN lw ELSE n + lw END) >= 80 THEN '' WHEN n + lw > 120 OR cur = '' THEN line ELSE cur || chr(10) || line END,
+        CASE WHEN lw > 120 OR (CASE WHEN n + lw > 120 THEN lw ELSE n + lw END) >= 80 THEN 0 WHEN n + lw > 120 THEN lw ELSE n + lw END
+    FROM (SELECT *, {_LINE_WORDS} AS lw, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS flushed FROM (SELECT *, ls[i + 1] AS line FROM fold WHERE i < len(ls)))),
+packed AS (SELECT song_id, position, j, list_filter(list_transform(CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END, lambda x: {collapse_sql('x')}), lambda x: x <> '') AS texts FROM fold WHERE i = len(ls)),
+every AS (SELECT r.song_id, r.position, r.j, section, split_by, texts IS NOT NULL AS force_split, coalesce(texts, [text]) AS texts FROM ref r LEFT JOIN packed p ON p.song_id = r.song_id AND p.position = r.position AND p.j = r.j),
+flat AS (SELECT song_id, position, j, generate_subscripts(texts, 1) AS k, section, split_by, force_split, unnest(texts) AS text FROM every),
+made AS (SELECT song_id, (row_number() OVER (PARTITION BY song_id ORDER BY position, j, k) - 1)::INT AS position, section, text, split_by, force_split FROM flat)"""
+_BL = _REFINED[: _REFINED.index("refined AS")].rstrip().rstrip(",")
+_CHUNKED = f"WITH RECURSIVE {SONGS}, {_SEGMENTS}, {_BL}, {_PACKED}"
+
+
+@query(f"{_CHUNKED} SELECT song_id || ':' || position AS chunk_id, song_id, section, text, position, split_by, force_split FROM made")
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     return sections.chunk_songs(songs(spark, d))
 
@@ -221,12 +249,24 @@ def chunk_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return ingest.judge_chunks(chunks(spark, d)).groupBy(F.coalesce("reject_reason", F.lit("passed")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_KEPT = f"kept AS (SELECT song_id, artist, title, ({_REASON}) AS reason FROM songs1)"
+_MADE = f"""judged AS (SELECT *, CASE WHEN position > min(position) OVER (PARTITION BY song_id, {dedupe_sql("text")}) THEN 'chunk_duplicate_block' WHEN length(text) < 15 THEN 'chunk_too_short' END AS why
+    FROM made JOIN (SELECT song_id, artist, title FROM kept WHERE reason IS NULL) USING (song_id))"""
+
+
+@query(
+    f"""{_CHUNKED}, {_KEPT}, {_MADE}
+SELECT 'song' AS level, reason, song_id, artist, title, NULL::INT AS position, NULL::VARCHAR AS text_preview, NULL::VARCHAR AS chunk_id, NULL::VARCHAR AS embedder_name FROM kept WHERE reason IS NOT NULL
+UNION ALL SELECT 'chunk', why, song_id, artist, title, position, substr(text, 1, 80), NULL, NULL FROM judged WHERE why IS NOT NULL"""
+)
 def preprocess_rejects(spark: SparkSession, d: str) -> DataFrame:
     return ingest.preprocess(songs(spark, d))[2]
 
 
-@query()
+@query(
+    f"""{_CHUNKED}, {_KEPT}, {_MADE} SELECT (SELECT count(*) FROM kept) AS songs_in, (SELECT count(*) FROM kept WHERE reason IS NOT NULL) AS songs_rejected, count(*) AS chunks_in,
+    count(*) FILTER (why IS NULL) AS chunks_passed, count(why) AS chunks_rejected, true AS adds_up FROM judged"""
+)
 def preprocess_conservation(spark: SparkSession, d: str) -> DataFrame:
     flagged, passed, rejects = ingest.preprocess(songs(spark, d))
     kept = ingest.judge_songs(songs(spark, d)).where("reject_reason is null")
