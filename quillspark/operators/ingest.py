@@ -112,6 +112,23 @@ def duplicate_summary(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def duplicate_samples(df: DataFrame, key: Column, record_id: str, n: int = 5, shown: int = 3) -> DataFrame:
+    """(k, n_rows, ids): the ``n`` keys with most rows, ties by key, with the ``shown`` smallest ids of each."""
+    named = df.select(key.alias("k"), F.col(record_id).alias("id")).where("k is not null")
+    largest = named.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").orderBy(F.desc("n_rows"), "k").limit(n)
+    w = Window.partitionBy("k").orderBy("id")
+    # the limit of the window is taken before the shuffle
+    ids = named.join(F.broadcast(largest.select("k")), "k", "left_semi").distinct().withColumn("i", F.row_number().over(w)).where(F.col("i") <= shown)
+    return ids.groupBy("k").agg(F.sort_array(F.collect_list("id")).alias("ids")).join(largest, "k").select("k", "n_rows", "ids")
+
+
+def require_same_groups(summary: DataFrame, a: str, b: str) -> None:
+    """Raise unless two kinds of key found equally many groups and rows, as an id made of a key must."""
+    got = {r.key_kind: (r.n_groups, r.n_rows) for r in summary.where(F.col("key_kind").isin(a, b)).collect()}
+    if got[a] != got[b]:
+        raise ValueError(f"{a} and {b} disagree: {got[a]} and {got[b]} groups and rows")
+
+
 def build_lookup(rows: DataFrame, known: DataFrame, key: str, order: str, tag: str) -> tuple[DataFrame, DataFrame]:
     """(lookup, stats): the first tag per known key, and how many keys are covered or contradict themselves."""
     mine = rows.where(F.col(tag).isNotNull()).join(known.select(key).distinct(), key, "left_semi")

@@ -68,7 +68,7 @@ def in_all_arms(rows: DataFrame, arm: str, key: str) -> DataFrame:
 
 
 def contamination(fragments: DataFrame, queries: DataFrame, idf: DataFrame, query_terms: Column, group_size: int = 25) -> DataFrame:
-    """Per query: the other fragment of its group with the highest shared idf, and that idf.
+    """Per query: the other fragment of its group with the highest shared idf, that idf, and the terms that have it.
 
     Fragments (fragment_id, terms, group_no) meet queries (query_id,
     fragment_id, group_no, ...) of the same group but another fragment.  The
@@ -80,6 +80,9 @@ def contamination(fragments: DataFrame, queries: DataFrame, idf: DataFrame, quer
     q = materialize(q, "group_terms")
     met = skewed_join(q, f, ["group_no", "term"], F.col("query_id")).where(F.col("own") != F.col("fragment_id"))
     met = skewed_join(met, idf.select("term", "idf"), ["term"], F.col("query_id"), counted=q)
-    per_pair = met.groupBy("query_id", "fragment_id").agg(F.max("idf").alias("idf"))
-    worst = F.min(F.struct((-F.round("idf", 6)).alias("neg"), F.col("fragment_id").alias("fragment_id"))).alias("m")
-    return per_pair.groupBy("query_id").agg(worst).select("query_id", F.col("m.fragment_id").alias("other_fragment"), (-F.col("m.neg")).alias("max_other_idf"))
+    held = F.collect_set(F.struct(F.round("idf", 6).alias("idf"), "term"))  # within one query's own terms
+    per_pair = met.groupBy("query_id", "fragment_id").agg(F.round(F.max("idf"), 6).alias("idf"), held.alias("held"))
+    top = F.sort_array(F.transform(F.filter("held", lambda h: h["idf"] >= F.col("idf")), lambda h: h["term"]))
+    worst = F.min(F.struct((-F.col("idf")).alias("neg"), F.col("fragment_id").alias("fragment_id"), top.alias("terms"))).alias("m")
+    found = per_pair.groupBy("query_id").agg(worst)
+    return found.select("query_id", F.col("m.fragment_id").alias("other_fragment"), (-F.col("m.neg")).alias("max_other_idf"), F.col("m.terms").alias("cross_terms"))

@@ -139,6 +139,16 @@ def tier_tally(themes: DataFrame) -> DataFrame:
     return themes.groupBy("tier").agg(F.sum(F.col("keep").eqNullSafe(F.lit(True)).cast("bigint")).alias("n_kept"), F.count(F.lit(1)).alias("n_themes"))
 
 
+#: Judgements that a kept theme has come to on average.
+JUDGEMENTS_A_THEME = 23.5
+
+
+def implied_judgements(themes: DataFrame) -> DataFrame:
+    """One row: kept themes, and the judgements they will come to."""
+    kept = F.coalesce(F.sum(F.col("keep").eqNullSafe(F.lit(True)).cast("bigint")), F.lit(0))
+    return themes.agg(kept.alias("n_kept")).withColumn("n_judgements", F.round(F.col("n_kept") * JUDGEMENTS_A_THEME).cast("bigint"))
+
+
 def pending(pooled: DataFrame, judged: DataFrame) -> DataFrame:
     """Pool rows nobody judged."""
     return pooled.join(judged.select("query_id", "song_id").distinct(), ["query_id", "song_id"], "left_anti")

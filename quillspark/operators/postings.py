@@ -153,10 +153,15 @@ def load_bm25(spark: SparkSession, path: str) -> Bm25:
 PUSHED_TERMS = 2_000
 
 
-def of_terms(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows whose term is asked for.  A few terms (they are counted) become a filter of the scan."""
+def few_terms(asked: DataFrame) -> list[str] | None:
+    """The distinct terms that are asked for, if they are few."""
     terms = [r.term for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-    return rows.where(F.col("term").isin(terms)) if len(terms) <= PUSHED_TERMS else rows
+    return terms if len(terms) <= PUSHED_TERMS else None
+
+
+def of_terms(rows: DataFrame, terms: list[str] | None) -> DataFrame:
+    """The rows of a few terms, by a filter that reaches the scan; all rows where the terms are many."""
+    return rows if terms is None else rows.where(F.col("term").isin(terms))
 
 
 def query_bag(queries: DataFrame, query: str, tokens: Column) -> DataFrame:

@@ -185,7 +185,7 @@ def _dense(corpus: Corpus, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     counted = corpus.stages.manifest(corpus.vector_stage)["counted"]
     if embedder.sparse:
         asked = inv.tfidf_vectors(queries.where(~retrieval.is_blank(F.col("query"))), "query_id", tx.tfidf_terms(F.col("query")), embedder.model)
-        vectors = inv.of_terms(corpus.stages.read(corpus.index_stage, "vectors"), asked)
+        vectors = inv.of_terms(corpus.stages.read(corpus.index_stage, "vectors"), inv.few_terms(asked))
         scored = inv.sparse_scores(asked, "query_id", vectors, "chunk_id").withColumn("score", F.round("score", retrieval.DECIMALS)).where("score > 0")
         best = fusion.top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], how.top_k)
         norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("query_norm"))

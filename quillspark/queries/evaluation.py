@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.metrics import METRICS
 from ..operators import evaluation as ev
-from ..operators import ingest, leak, pooling
+from ..operators import gate, ingest, leak, pooling
 from ..operators import postings as inv
 from ..runtime import table
-from .base import CHUNKS, EVALS, HITS, SONGS, TERMS, TFIDF, chunks, eval_queries, hits, query, songs
+from .base import CHUNKS, EVALS, HITS, SONGS, TERMS, TFIDF, chunks, eval_queries, hits, query, songs, words_sql
 from .search import _RANKED, _ranked
 
 _OUT = f"""{_RANKED}, {EVALS}, arms AS (SELECT DISTINCT arm FROM turned),
@@ -188,8 +188,9 @@ def query_source_jaccard(spark: SparkSession, d: str) -> DataFrame:
     rf"""WITH {CHUNKS}, {EVALS}, {TFIDF}, fr AS (SELECT chunk_id, floor((row_number() OVER (ORDER BY chunk_id) - 1) / 25) AS group_no FROM (SELECT DISTINCT source_chunk_id AS chunk_id FROM evals1 WHERE source_chunk_id IS NOT NULL)),
 ft AS (SELECT DISTINCT chunk_id, group_no, term FROM fr JOIN cpost USING (chunk_id)),
 qt AS (SELECT query_id, source_chunk_id AS own, group_no, unnest(list_distinct(regexp_extract_all(lower(query), {TERMS}))) AS term FROM evals1 JOIN fr ON chunk_id = source_chunk_id),
-pr AS (SELECT query_id, ft.chunk_id, round(max(idf), 6) AS idf FROM qt JOIN ft ON ft.group_no = qt.group_no AND ft.term = qt.term AND ft.chunk_id <> own JOIN cidf ON cidf.term = qt.term GROUP BY ALL)
-SELECT query_id, chunk_id AS other_fragment, idf AS max_other_idf FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idf DESC, chunk_id) AS rn FROM pr) WHERE rn = 1"""
+me AS (SELECT query_id, ft.chunk_id, qt.term, round(idf, 6) AS idf, max(round(idf, 6)) OVER (PARTITION BY query_id, ft.chunk_id) AS top FROM qt JOIN ft ON ft.group_no = qt.group_no AND ft.term = qt.term AND ft.chunk_id <> own JOIN cidf ON cidf.term = qt.term),
+pr AS (SELECT query_id, chunk_id, top AS idf, string_agg(term, ' ' ORDER BY term) FILTER (idf >= top) AS terms FROM me GROUP BY ALL)
+SELECT query_id, chunk_id AS other_fragment, idf AS max_other_idf, terms AS cross_terms FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idf DESC, chunk_id) AS rn FROM pr) WHERE rn = 1"""
 )
 def contamination(spark: SparkSession, d: str) -> DataFrame:
     corpus, asked = chunks(spark, d), eval_queries(spark, d)
@@ -198,7 +199,145 @@ def contamination(spark: SparkSession, d: str) -> DataFrame:
     groups = pooling.grouped(used, "chunk_id", 25)
     fragments = groups.join(corpus, "chunk_id").select(F.col("chunk_id").alias("fragment_id"), "group_no", tx.tfidf_terms(F.col("text")).alias("terms"))
     q = asked.join(groups.withColumnRenamed("chunk_id", "source_chunk_id"), "source_chunk_id").withColumnRenamed("source_chunk_id", "fragment_id")
-    return leak.contamination(fragments, q, model.idf, tx.tfidf_terms(F.col("query")))
+    return leak.contamination(fragments, q, model.idf, tx.tfidf_terms(F.col("query"))).withColumn("cross_terms", F.array_join("cross_terms", " "))
+
+
+# replies made of the evaluation queries: an attempt and a type by the query's id
+_REPLIES = f"""re AS (SELECT source_chunk_id AS chunk_id, 1 + query_id % 3 AS attempt, min(CASE WHEN query_id % 2 = 0 THEN query END) AS paraphrase, min(CASE WHEN query_id % 2 = 1 THEN query END) AS description
+    FROM evals1 WHERE source_chunk_id IS NOT NULL GROUP BY ALL),
+tries AS (SELECT chunk_id, attempt, 'paraphrase' AS query_type, paraphrase AS text FROM re WHERE paraphrase IS NOT NULL UNION ALL SELECT chunk_id, attempt, 'description', description FROM re WHERE description IS NOT NULL),
+fr AS (SELECT chunk_id, song_id, split_by AS stratum, text AS source, lower(concat_ws(' ', title, artist)) AS meta FROM chunks1 LEFT JOIN songs1 USING (song_id)),
+tt AS (SELECT chunk_id, query_type, attempt, unnest(list_distinct(regexp_extract_all(lower(text), {TERMS}))) AS term FROM tries),
+inq AS (SELECT tt.*, idf, list_contains(regexp_extract_all(lower(coalesce(source, '')), {TERMS}), tt.term) AS own, list_contains(regexp_extract_all(coalesce(meta, ''), {TERMS}), tt.term) AS control
+    FROM tt LEFT JOIN fr USING (chunk_id) LEFT JOIN cidf ON cidf.term = tt.term),
+sc AS (SELECT chunk_id, query_type, attempt, coalesce(sum(CASE WHEN own THEN idf END), 0) / nullif(sum(idf), 0) AS ratio, max(CASE WHEN own THEN idf END) AS top, max(CASE WHEN control THEN idf END) AS meta FROM inq GROUP BY ALL),
+gated AS (SELECT tries.*, song_id, stratum, {words_sql("tries.text")} AS n_words, coalesce(ratio, 0) AS ratio, coalesce(top, 0) AS max_shared_idf, coalesce(sc.meta, 0) AS meta_max_idf,
+    round(coalesce(top, 0), 6) < round(ln((1 + n_docs) / 101) + 1, 6) AS passes, round(coalesce(sc.meta, 0), 6) >= round(ln((1 + n_docs) / 101) + 1, 6) AS title_leak
+    FROM tries LEFT JOIN fr USING (chunk_id) LEFT JOIN sc USING (chunk_id, query_type, attempt), nd),
+keys AS (SELECT chunk_id, query_type, min(stratum) AS stratum, min(CASE WHEN passes THEN attempt END) AS first_pass, max(attempt) AS n_attempts FROM gated GROUP BY 1, 2),
+states AS (SELECT *, CASE WHEN first_pass IS NOT NULL THEN 'passed' WHEN n_attempts >= 3 THEN 'exhausted' ELSE 'pending' END AS state FROM keys)"""
+_GATED = f"WITH {CHUNKS}, {EVALS}, {SONGS}, {TFIDF}, {_REPLIES}"
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    corpus, n = chunks(spark, d), F.col("query_id")
+    model = inv.fit_tfidf(corpus, "chunk_id", tx.tfidf_terms(F.col("text")))
+    asked = eval_queries(spark, d).where("source_chunk_id is not null").groupBy(F.col("source_chunk_id").alias("chunk_id"), (1 + n % 3).alias("attempt"))
+    replies = asked.agg(F.min(F.when(n % 2 == 0, F.col("query"))).alias("paraphrase"), F.min(F.when(n % 2 == 1, F.col("query"))).alias("description"))
+    fragments = corpus.select("chunk_id", "song_id", F.col("split_by").alias("stratum"), "text")
+    return gate.score_attempts(gate.long_replies(replies), fragments, songs(spark, d), model.idf, model.totals.first().n_docs)
+
+
+@query(f"{_GATED} SELECT chunk_id, query_type, attempt, song_id, n_words, round(ratio, 6) AS ratio, round(max_shared_idf, 6) AS max_shared_idf, round(meta_max_idf, 6) AS meta_max_idf, passes, title_leak FROM gated")
+def gate_attempts(spark: SparkSession, d: str) -> DataFrame:
+    numbers = [F.round(c, 6).alias(c) for c in ("ratio", "max_shared_idf", "meta_max_idf")]
+    return _gated(spark, d).select("chunk_id", "query_type", "attempt", "song_id", F.col("n_words").cast("bigint").alias("n_words"), *numbers, "passes", "title_leak")
+
+
+@query(f"{_GATED} SELECT g.chunk_id, g.query_type, text AS query, song_id, g.stratum, attempt FROM gated g JOIN keys k ON k.chunk_id = g.chunk_id AND k.query_type = g.query_type AND g.attempt = first_pass")
+def gate_accepted(spark: SparkSession, d: str) -> DataFrame:
+    return gate.accepted(_gated(spark, d)).withColumn("song_id", F.col("relevant_song_ids")[0]).drop("relevant_song_ids")
+
+
+@query(f"{_GATED} SELECT DISTINCT chunk_id FROM states WHERE state = 'pending'")
+def gate_retries(spark: SparkSession, d: str) -> DataFrame:
+    return gate.retries(_gated(spark, d))
+
+
+@query(
+    f"""{_GATED} SELECT query_type, stratum, count(*) AS n, count(*) FILTER (state = 'passed') AS passed, count(*) FILTER (state = 'exhausted') AS exhausted, count(*) FILTER (state = 'pending') AS pending,
+    count(*) FILTER (n_attempts > 1) AS n_retried, count(*) FILTER (n_attempts > 1 AND state <> 'passed') AS n_failed_again,
+    round(count(*) FILTER (n_attempts > 1 AND state <> 'passed') / nullif(count(*) FILTER (n_attempts > 1), 0), 6) AS repeat_fail_rate FROM states GROUP BY 1, 2"""
+)
+def gate_attrition(spark: SparkSession, d: str) -> DataFrame:
+    return gate.attrition_report(_gated(spark, d)).withColumn("repeat_fail_rate", F.round("repeat_fail_rate", 6))
+
+
+@query(
+    f"""{_GATED}, ok AS (SELECT g.text FROM gated g JOIN keys k ON k.chunk_id = g.chunk_id AND k.query_type = g.query_type AND g.attempt = first_pass)
+SELECT (SELECT count(*) FROM ok) AS n_accepted, (SELECT count(*) FROM (SELECT text FROM ok GROUP BY 1 HAVING count(*) > 1)) AS n_duplicate_texts,
+    count(*) FILTER (state = 'exhausted' AND query_type = 'paraphrase') AS n_lost_paraphrase, count(DISTINCT chunk_id) FILTER (state = 'pending') AS n_retry FROM states"""
+)
+def gate_totals(spark: SparkSession, d: str) -> DataFrame:
+    return gate.attrition_totals(_gated(spark, d))
+
+
+@query(
+    f"""{_GATED} SELECT query_type, count(*) AS n, round(avg(n_words), 6) AS mean_words, min(n_words) AS min_words, max(n_words) AS max_words, round(avg(ratio), 6) AS mean_ratio, round(max(ratio), 6) AS max_ratio,
+    round(max(max_shared_idf), 6) AS worst_idf, count(*) FILTER (NOT passes) AS n_failed, count(*) FILTER (title_leak) AS n_title_leaks FROM gated WHERE attempt = 1 GROUP BY 1"""
+)
+def gate_first_attempts(spark: SparkSession, d: str) -> DataFrame:
+    r = gate.first_attempts(_gated(spark, d))
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("min_words", "max_words")]
+    return r.select("query_type", "n", *whole, *[F.round(c, 6).alias(c) for c in ("mean_words", "mean_ratio", "max_ratio", "worst_idf")], "n_failed", "n_title_leaks")
+
+
+# two arms of replies to each asked chunk: the query first, or the chunk's own beginning first
+_ARMS = f"""src AS (SELECT source_chunk_id AS chunk_id, min(query) AS q FROM evals1 WHERE source_chunk_id IS NOT NULL AND query IS NOT NULL GROUP BY 1),
+re AS (SELECT 'query_first' AS arm, chunk_id, q AS paraphrase, substr(text, 1, 60) AS description FROM src JOIN chunks1 USING (chunk_id)
+    UNION ALL SELECT 'text_first', chunk_id, substr(text, 1, 60), q FROM src JOIN chunks1 USING (chunk_id) WHERE text IS NOT NULL),
+co AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) - 1 AS rn FROM (SELECT chunk_id FROM re GROUP BY 1 HAVING count(DISTINCT arm) = 2)),
+ar AS (SELECT arm, chunk_id, rn // 25 AS group_no, rn % 25 AS place, 'paraphrase' AS query_type, paraphrase AS text FROM re JOIN co USING (chunk_id) WHERE paraphrase IS NOT NULL
+    UNION ALL SELECT arm, chunk_id, rn // 25, rn % 25, 'description', description FROM re JOIN co USING (chunk_id) WHERE description IS NOT NULL),
+tt AS (SELECT arm, chunk_id, query_type, group_no, unnest(list_distinct(regexp_extract_all(lower(text), {TERMS}))) AS term FROM ar),
+ft AS (SELECT DISTINCT chunk_id, rn // 25 AS group_no, term FROM co JOIN cpost USING (chunk_id)),
+own AS (SELECT tt.arm, tt.chunk_id, tt.query_type, coalesce(sum(CASE WHEN ft.term IS NOT NULL THEN idf END), 0) / nullif(sum(idf), 0) AS ratio, max(CASE WHEN ft.term IS NOT NULL THEN idf END) AS top
+    FROM tt LEFT JOIN cidf ON cidf.term = tt.term LEFT JOIN ft ON ft.chunk_id = tt.chunk_id AND ft.term = tt.term GROUP BY ALL),
+cross_ AS (SELECT tt.arm, tt.chunk_id, tt.query_type, max(round(idf, 6)) AS other FROM tt JOIN ft ON ft.group_no = tt.group_no AND ft.term = tt.term AND ft.chunk_id <> tt.chunk_id JOIN cidf ON cidf.term = tt.term GROUP BY ALL),
+ro AS (SELECT ar.*, {words_sql("text")} AS n_words, coalesce(ratio, 0) AS ratio, coalesce(top, 0) AS own_idf, coalesce(other, 0) AS cross_idf, round(ln((1 + n_docs) / 101) + 1, 6) AS gate
+    FROM ar LEFT JOIN own USING (arm, chunk_id, query_type) LEFT JOIN cross_ USING (arm, chunk_id, query_type), nd)"""
+_ARMED = f"WITH {CHUNKS}, {EVALS}, {TFIDF}, {_ARMS}"
+
+
+def _arm_reports(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    corpus = chunks(spark, d)
+    model = inv.fit_tfidf(corpus, "chunk_id", tx.tfidf_terms(F.col("text")))
+    asked = eval_queries(spark, d).where("source_chunk_id is not null and query is not null").groupBy(F.col("source_chunk_id").alias("chunk_id")).agg(F.min("query").alias("q"))
+    both = asked.join(corpus.select("chunk_id", F.substring("text", 1, 60).alias("t")), "chunk_id")
+    one = both.select(F.lit("query_first").alias("arm"), "chunk_id", F.lit(1).alias("attempt"), F.col("q").alias("paraphrase"), F.col("t").alias("description"))
+    other = both.where("t is not null").select(F.lit("text_first").alias("arm"), "chunk_id", F.lit(1).alias("attempt"), F.col("t").alias("paraphrase"), F.col("q").alias("description"))
+    return gate.arm_reports(gate.arm_rows(one.unionByName(other), corpus, model.idf, model.totals.first().n_docs))
+
+
+@query(f"{_ARMED} SELECT arm, query_type, count(*) AS n, round(avg(cross_idf), 6) AS mean_idf, round(max(cross_idf), 6) AS worst_idf, count(*) FILTER (cross_idf >= gate) AS n_over FROM ro GROUP BY 1, 2")
+def arm_cross_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return _arm_reports(spark, d)["cross"].withColumns({c: F.round(c, 6) for c in ("mean_idf", "worst_idf")})
+
+
+@query(f"{_ARMED} SELECT arm, query_type, round(avg(ratio), 6) AS mean_ratio, round(avg(own_idf), 6) AS mean_idf, round(max(own_idf), 6) AS worst_idf FROM ro GROUP BY 1, 2")
+def arm_own_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _arm_reports(spark, d)["own"].withColumns({c: F.round(c, 6) for c in ("mean_ratio", "mean_idf", "worst_idf")})
+
+
+@query(f"{_ARMED} SELECT arm, query_type, count(*) AS n, count(*) FILTER (round(own_idf, 6) >= gate) AS n_failed FROM ro GROUP BY 1, 2")
+def arm_failures(spark: SparkSession, d: str) -> DataFrame:
+    return _arm_reports(spark, d)["failures"]
+
+
+@query(f"{_ARMED} SELECT arm, place, count(*) AS n, count(*) FILTER (round(own_idf, 6) >= gate) AS n_failed, round(avg(cross_idf), 6) AS mean_idf FROM ro GROUP BY 1, 2")
+def arm_places(spark: SparkSession, d: str) -> DataFrame:
+    return _arm_reports(spark, d)["places"].withColumn("mean_idf", F.round("mean_idf", 6))
+
+
+@query(
+    f"""{_ARMED}, j AS (SELECT arm, list_distinct(regexp_extract_all(lower(paraphrase), {TERMS})) AS a, list_distinct(regexp_extract_all(lower(description), {TERMS})) AS b FROM re JOIN co USING (chunk_id) WHERE paraphrase IS NOT NULL AND description IS NOT NULL),
+x AS (SELECT arm, round(avg(CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END), 6) AS pair_jaccard FROM j GROUP BY 1)
+SELECT arm, round(avg(n_words) FILTER (query_type = 'paraphrase'), 6) AS paraphrase_words, round(avg(n_words) FILTER (query_type = 'description'), 6) AS description_words, any_value(pair_jaccard) AS pair_jaccard FROM ro LEFT JOIN x USING (arm) GROUP BY 1"""
+)
+def arm_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return _arm_reports(spark, d)["lengths"].withColumns({c: F.round(c, 6) for c in ("paraphrase_words", "description_words", "pair_jaccard")})
+
+
+@query(
+    f"""WITH {SONGS}, {CHUNKS}, p AS (SELECT song_id, chunk_id, position, row_number() OVER (PARTITION BY song_id ORDER BY md5(chunk_id || ':7'), chunk_id) AS rn FROM chunks1 WHERE length(text) >= 80),
+s AS (SELECT song_id, is_translation, position, CASE WHEN p.song_id IS NULL THEN 'no_fragment' END AS skipped FROM songs1 LEFT JOIN (SELECT * FROM p WHERE rn = 1) p USING (song_id))
+SELECT 'is_translation' AS what, coalesce(is_translation::VARCHAR, '(none)') AS value, count(*) AS n FROM s WHERE skipped IS NULL GROUP BY 2
+UNION ALL SELECT 'position', '0', count(*) FROM s WHERE skipped IS NULL AND position = 0 HAVING count(*) > 0 UNION ALL SELECT 'skipped', skipped, count(*) FROM s WHERE skipped IS NOT NULL GROUP BY 2"""
+)
+def sample_counts(spark: SparkSession, d: str) -> DataFrame:
+    drawn = pooling.fragment_per_song(songs(spark, d), chunks(spark, d), 7).select("song_id", "chunk_id", "skipped")
+    known = songs(spark, d).select("song_id", "is_translation")
+    return gate.sample_counts(drawn.join(known, "song_id").join(chunks(spark, d).select("chunk_id", "position"), "chunk_id", "left"))
 
 
 @query(f"WITH {HITS} SELECT song_id FROM hits1 GROUP BY 1 HAVING count(DISTINCT arm) = (SELECT count(DISTINCT arm) FROM hits1)")
@@ -311,6 +450,16 @@ def tier_tally(spark: SparkSession, d: str) -> DataFrame:
     return pooling.tier_tally(_themes(spark, d))
 
 
+@query(f"WITH {_THEMES} SELECT count(*) FILTER (keep) AS n_kept, round(count(*) FILTER (keep) * 23.5)::BIGINT AS n_judgements FROM themes")
+def implied_judgements(spark: SparkSession, d: str) -> DataFrame:
+    return pooling.implied_judgements(_themes(spark, d))
+
+
+@query(f"WITH {EVALS} SELECT query_id, query FROM evals1 WHERE stratum = 'main'")
+def stratum_queries(spark: SparkSession, d: str) -> DataFrame:
+    return ev.select_stratum(eval_queries(spark, d), "main").select("query_id", "query")
+
+
 @query(f"WITH {_THEMES} SELECT theme_id, CASE WHEN mark_seq = (SELECT max(mark_seq) FROM themes) THEN NULL ELSE mark END AS mark, CASE WHEN mark_seq = (SELECT max(mark_seq) FROM themes) THEN NULL ELSE mark_seq END AS mark_seq FROM themes")
 def undone_mark(spark: SparkSession, d: str) -> DataFrame:
     return pooling.undo_last(_themes(spark, d)).select("theme_id", "mark", "mark_seq")

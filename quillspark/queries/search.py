@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import embedders, fusion, knn, retrieval
+from ..operators import embedders, evaluation, fusion, knn, retrieval
 from ..operators import postings as inv
 from ..runtime import table
 from .base import BEST_CHUNK, BM25, CHUNKS, DENSE, EVERY, HITS, HYBRID, SEARCHES, SONGS, TFIDF, chunks, hits, query, searches, songs, strip_sql
@@ -126,6 +126,14 @@ def shown_results(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.show_hits(h, songs(spark, d), chunks(spark, d)).drop("snippet")
 
 
+@query(
+    f"""{_HYBRID}, s AS (SELECT query_id, {strip_sql("coalesce(query, '')")} = '' AS blank FROM searches)
+SELECT CASE WHEN blank THEN 'empty_query' ELSE 'query_out_of_vocabulary' END AS status, count(*) AS n FROM s WHERE query_id NOT IN (SELECT query_id FROM lists) GROUP BY 1"""
+)
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.status_histogram(retrieval.hybrid(_dense(spark, d), _lexical(spark, d))[1])
+
+
 # vectors: the label of an embedding stands for the song of a chunk
 _V = f"""q AS (SELECT vec_id::VARCHAR AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {EVERY} = 0),
 v AS (SELECT vec_id::VARCHAR AS chunk_id, label::VARCHAR AS song_id, embedding::DOUBLE[] AS cv FROM embeddings),

@@ -162,6 +162,21 @@ def whole_songs(spark: SparkSession, d: str) -> DataFrame:
     return sections.chunk_songs(songs(spark, d), "whole_song").select("song_id", F.md5("text").alias("text"))
 
 
+@query(f"WITH {CHUNKS} SELECT chunk_id, replace(substr(text, 1, 80), chr(10), ' ') AS line FROM chunks1")
+def result_lines(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).select("chunk_id", tx.one_line_preview(F.col("text")).alias("line"))
+
+
+@query(
+    f"""WITH {SONGS}, k AS (SELECT {id_sql("coalesce(artist, '') || ' ' || coalesce(title, '')")} AS k, song_id AS id FROM songs1),
+g AS (SELECT k, count(*) AS n_rows FROM k WHERE k IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY n_rows DESC, k LIMIT 5)
+SELECT k, n_rows, array_to_string(list_sort(list_distinct(list(id)))[1:3], ' ') AS ids FROM g JOIN k USING (k) GROUP BY 1, 2"""
+)
+def duplicate_samples(spark: SparkSession, d: str) -> DataFrame:
+    key = tx.normalize_for_id(F.concat_ws(" ", F.coalesce("artist", F.lit("")), F.coalesce("title", F.lit(""))))
+    return ingest.duplicate_samples(songs(spark, d), key, "song_id").withColumn("ids", F.array_join("ids", " "))
+
+
 # the packing of lines is a fold, one step of the recursion a line
 _LINE_WORDS = words_sql("line")
 _LONG_LINE = rf"""CASE WHEN NOT contains(regexp_replace(line, '([.!?]){WS}+', '\1' || chr(3), 'g'), chr(3))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import metrics as m
-from quillspark.operators import evaluation, fusion, ingest, knn, leak, pooling, retrieval
+from quillspark.operators import evaluation, fusion, gate, ingest, knn, leak, pooling, retrieval
 from quillspark.operators import embedders as emb
 from quillspark.operators import postings as inv
 from quillspark.functions import text as tx
@@ -396,3 +396,70 @@ def test_discarded_tables_are_gone(spark):
     discard(t)
     with pytest.raises(Exception):
         t.count()
+
+
+REPLIES = "chunk_id string, attempt int, paraphrase string, description string"
+FRAGMENTS = "chunk_id string, song_id string, stratum string, text string"
+
+
+def gated(spark, replies, n_docs=1000):
+    fragments = spark.createDataFrame([("c1", "s1", "main", "the rare harbor"), ("c2", "s2", "main", "a common tune"), ("c3", "s3", "other", None)], FRAGMENTS)
+    songs = spark.createDataFrame([("s1", "Lantern", "Ann"), ("s2", None, None), ("s3", "x", "y")], "song_id string, title string, artist string")
+    idf = spark.createDataFrame([("rare", 6.0), ("harbor", 5.9), ("common", 1.2), ("lantern", 6.1), ("the", 1.0)], "term string, idf double")
+    return fragments, gate.score_attempts(gate.long_replies(spark.createDataFrame(replies, REPLIES)), fragments, songs, idf, n_docs)
+
+
+def test_gate(spark):
+    """n = 1000 and at most 100 chunks a term: the gate's idf is ln(1001 / 101) + 1 = 3.29."""
+    replies = [("c1", None, "a rare thing", "the sea"), ("c1", 2, "a lantern", None), ("c2", 1, "common rare", "common"), ("c2", 2, None, "late"), ("c3", 3, "nothing", None), ("c1", 3, "rare again", "common")]
+    fragments, scored = gated(spark, replies)
+    rows = {(r.chunk_id, r.query_type, r.attempt): r for r in scored.collect()}
+    assert len(rows) == 9 and {k for k, r in rows.items() if not r.passes} == {("c1", "paraphrase", 1), ("c1", "paraphrase", 3)}
+    assert rows["c1", "paraphrase", 1].shared == ["rare"] and rows["c1", "paraphrase", 1].max_shared_df == pytest.approx(1001 / math.exp(5) - 1)
+    assert rows["c1", "description", 1].ratio == 1 and rows["c2", "description", 2].ratio == 0 and rows["c2", "description", 2].max_shared_df is None
+    assert {k for k, r in rows.items() if r.title_leak} == {("c1", "paraphrase", 2)}
+    ok = {(r.chunk_id, r.query_type): (r.query, r.attempt, r.relevant_song_ids) for r in gate.accepted(scored).collect()}
+    assert ok["c1", "paraphrase"] == ("a lantern", 2, ["s1"]) and ok["c2", "description"] == ("common", 1, ["s2"]) and len(ok) == 5
+    assert gate.retries(scored).count() == 0
+    report = {(r.query_type, r.stratum): r for r in gate.attrition_report(scored).collect()}
+    assert report["paraphrase", "main"].n_retried == 1 and report["paraphrase", "main"].repeat_fail_rate == 0
+    with pytest.raises(ValueError, match="1 fragments have no reply"):
+        gate.assemble(scored.where("chunk_id <> 'c3'"), fragments)
+    chosen, again, meta = gate.assemble(scored.where("chunk_id <> 'c3'"), fragments, partial=True)
+    assert meta["partial"] and (meta["queries"], meta["songs"]) == (4, 2) == (chosen.count(), chosen.select("chunk_id").distinct().count()) and again.count() == 0
+
+
+def test_gate_retries_and_losses(spark):
+    fragments, scored = gated(spark, [("c1", 1, "rare", "harbor"), ("c1", 2, "rare", None), ("c1", 3, "harbor rare", None)])
+    totals = gate.attrition_totals(scored).first()
+    assert (totals.n_accepted, totals.n_lost_paraphrase, totals.n_retry) == (0, 1, 1)
+    assert [r.chunk_id for r in gate.retries(scored).collect()] == ["c1"]
+    report = {r.query_type: r for r in gate.attrition_report(scored).collect()}
+    assert report["paraphrase"].repeat_fail_rate == 1 and report["description"].repeat_fail_rate is None
+    assert gated(spark, [])[1].count() == 0
+
+
+def test_arm_reports_are_paired(spark):
+    fragments = spark.createDataFrame([("c1", "s1", "m", "rare harbor"), ("c2", "s2", "m", "common tune"), ("c3", "s3", "m", "lone")], FRAGMENTS)
+    idf = spark.createDataFrame([("rare", 6.0), ("harbor", 5.9), ("common", 1.2), ("tune", 5.0)], "term string, idf double")
+    rows = [("a", "c1", 1, "rare tune", "x"), ("a", "c2", 1, "harbor", "tune"), ("b", "c1", 1, "calm", "calm"), ("b", "c2", 1, "sea", "sky"), ("b", "c3", 1, "lone", None)]
+    replies = spark.createDataFrame(rows, "arm string, " + REPLIES)
+    scored = materialize(gate.arm_rows(replies, fragments, idf, 1000))
+    got = {(r.arm, r.chunk_id, r.query_type): r for r in scored.collect()}
+    assert len(got) == 8 and not any(k[1] == "c3" for k in got)  # only what all arms have
+    r = got["a", "c1", "paraphrase"]
+    assert (r.own_max_idf, r.cross_max_idf, r.cross_terms, r.other_fragment, r.passes, r.cross_over) == (6.0, 5.0, ["tune"], "c2", False, True)
+    reports = gate.arm_reports(scored)
+    assert {(x.arm, x.query_type): x.n_over for x in reports["cross"].collect()} == {("a", "paraphrase"): 2, ("a", "description"): 0, ("b", "paraphrase"): 0, ("b", "description"): 0}
+    assert {x.arm: x.pair_jaccard for x in reports["lengths"].collect()} == {"a": 0.0, "b": 0.5}
+    assert {(x.arm, x.place): x.n for x in reports["places"].collect()} == {(a, p): 2 for a in "ab" for p in (0, 1)}
+
+
+def test_duplicate_samples(spark):
+    df = spark.createDataFrame([("x", f"i{i}") for i in range(5)] + [("y", "a"), ("y", "b"), ("z", "c"), (None, "d"), (None, "e")], "k string, id string")
+    got = {r.k: (r.n_rows, r.ids) for r in ingest.duplicate_samples(df, F.col("k"), "id").collect()}
+    assert got == {"x": (5, ["i0", "i1", "i2"]), "y": (2, ["a", "b"])}
+    same = ingest.duplicate_summary(df, {"one": F.col("k"), "two": F.upper("k")})
+    ingest.require_same_groups(same, "one", "two")
+    with pytest.raises(ValueError, match="disagree"):
+        ingest.require_same_groups(ingest.duplicate_summary(df, {"one": F.col("k"), "two": F.col("id")}), "one", "two")
