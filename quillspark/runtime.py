@@ -115,7 +115,10 @@ def hot_keys(df: DataFrame, on: list[str], *, rows: int = HOT_ROWS) -> DataFrame
     At most ``HOT_SHARE`` rows whatever the data, so the result may be
     broadcast.  Costs a scan of the key columns, aggregated before it is shuffled.
     """
-    least = max(rows, df.count() // HOT_SHARE)
+    n = df.count()
+    least = max(rows, n // HOT_SHARE)
+    if n <= least:  # no key can have more rows than all
+        return df.select(*on).limit(0)
     counts = df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     return counts.where(F.col("__n") > least).select(*on)
 
