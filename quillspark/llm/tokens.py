@@ -8,14 +8,18 @@ prefix that words share is worked out once.  A word's ids are read back along
 the states.
 
 The vocabulary is that of a public tokenizer (a rank file).  A text is first
-parted by the tokenizer's own pattern; no merge crosses a word.
+parted by the tokenizer's own pattern; no merge crosses a word.  Where the
+pattern never puts white space after something else into one word, a text can
+be cut before every run of white space first, which is cheap, and the pattern
+is applied to each distinct stretch once.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,11 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k"
 #: Words kept per Python worker before their encodings are forgotten.
 MEMO_WORDS = 400_000
+#: Characters of a word or stretch that is kept at most.
+_KEPT = 64
 _BATCH = 500
+# Fixed value: the pattern of byte-level vocabularies of which no word has white space after something else.
+SPACE_LED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _INF = 1 << 60
 
 
@@ -55,7 +63,14 @@ class TrieEncoder:
         for t in self.rank:
             self.longest[t[-2:]] = max(len(t), self.longest.get(t[-2:], 1))
         self.find = regex.compile(pattern).findall
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}  # ids as 32-bit numbers, so that texts are joined without touching single ids
+        self.stretch = None
+        if pattern == SPACE_LED:
+            blank = regex.compile(r"\s").match
+            space = "".join(re.escape(c) for c in map(chr, range(0x3001)) if blank(c))
+            self.stretch = re.compile(f"[{space}]*[^{space}]+|[{space}]+").findall
+        self.stretches: dict[str, bytes] = {}
+        self._fresh: set[str] = set()
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._right: dict[int, list[int]] = {}
         self._left: dict[int, list[int]] = {}
@@ -137,21 +152,38 @@ class TrieEncoder:
                 if size is None:
                     size = length[t] = len(self.token[t])
                 d -= size
-            self.memo[word] = tuple(ids[::-1])
+            self.memo[word] = array("i", ids[::-1]).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts; null and empty texts have no ids."""
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS or len(self.stretches) > MEMO_WORDS:
             self.memo.clear()
-        words = [self.find(t) if t else [] for t in texts]
-        new = set().union(*words).difference(self.memo)
-        if new:
-            self.learn(new)
-        get = self.memo.__getitem__
-        ids = [list(chain.from_iterable(map(get, w))) for w in words]
+            self.stretches.clear()
+        if self.stretch is None:
+            words, known, new = [self.find(t) if t else [] for t in texts], self.memo, []
+            self._learn_new(words)
+        else:
+            words, known = [self.stretch(t) if t else [] for t in texts], self.stretches
+            new = list(set().union(*words).difference(known))
+            parted = [self.find(x) for x in new]
+            self._learn_new(parted)
+            for x, parts in zip(new, parted):
+                known[x] = b"".join(map(self.memo.__getitem__, parts))
+        get = known.__getitem__
+        ids = [b"".join(map(get, w)) for w in words]
         offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-        np.cumsum([len(i) for i in ids], out=offsets[1:])
-        return offsets, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
+        np.cumsum([len(i) // 4 for i in ids], out=offsets[1:])
+        # what is long is seldom seen again: it is forgotten at once, so that a memo stays small whatever the texts
+        for memo, seen in ((self.memo, self._fresh), (self.stretches, new)):
+            for x in seen:
+                if len(x) > _KEPT:
+                    del memo[x]
+        return offsets, np.frombuffer(b"".join(ids), dtype=np.int32)
+
+    def _learn_new(self, words: list[list[str]]) -> None:
+        self._fresh = set().union(*words).difference(self.memo)
+        if self._fresh:
+            self.learn(self._fresh)
 
 
 _ENCODERS: dict[tuple[str, str], TrieEncoder] = {}

@@ -68,3 +68,22 @@ def test_edge_rows(spark):
     got = sorted(((r.doc_id, r.ids) for r in t.token_ids(df).collect()), key=str)
     assert got == sorted([(1, []), (2, []), (None, [5303]), (4, [5303]), (4, [5303])], key=str)
     assert t.token_ids(df.limit(0)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab1'é中 .!s\t\n\r\x0b\x1c\x1f\x85\xa0  　​", max_size=30), max_size=4))
+def test_stretches_give_what_the_pattern_gives(texts):
+    enc = t.encoder(t.vocabulary_path(), t.split_pattern())
+    assert enc.stretch is not None
+    plain = t.encoder(t.vocabulary_path(), "(?:" + t.split_pattern() + ")")  # another spelling, so without stretches
+    assert plain.stretch is None
+    for got, want in zip(enc.encode_batch(texts), plain.encode_batch(texts)):
+        assert got.tolist() == want.tolist()
+
+
+def test_long_words_are_not_kept():
+    enc = t.TrieEncoder(t.vocabulary_path(), t.split_pattern())
+    texts = ["x" * 300 + " short", "字" * 200, "x" * 300]
+    first = [a.tolist() for a in enc.encode_batch(texts)]
+    assert [a.tolist() for a in enc.encode_batch(texts)] == first
+    assert max(map(len, enc.memo)) <= 64 and max(map(len, enc.stretches)) <= 64 and " short" in enc.stretches
