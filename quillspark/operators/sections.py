@@ -6,8 +6,8 @@ with two control characters and one split turns the marks into segments, so
 that a song is scanned a fixed number of times and never leaves the JVM.
 Input that holds these control characters loses them.
 
-A label line inside a bracket that spans several lines is not told apart from
-one outside.
+A label line inside a tag of several lines is a boundary: what is left of the
+tag behind it belongs to the label's body, what stands before it to nothing.
 """
 
 from __future__ import annotations
@@ -90,7 +90,10 @@ def outer_segments(text: Column) -> Column:
         # only short lines can be labels; the pattern spares the others the work
         lambda x: F.when(x.rlike(r"^[^A-Za-z\[\]]*[A-Za-z]+[^A-Za-z\[\]]*([A-Za-z]+[^A-Za-z\[\]]*)?$"), F.coalesce(F.concat(F.lit(_OPEN + "P"), label_section(x), F.lit(_SHUT)), x)).otherwise(x),
     )
-    marked = F.regexp_replace(F.array_join(lines, "\n"), r"\[([^\]]*)\]", _OPEN + "B$1" + _SHUT)
+    joined = F.array_join(lines, "\n")
+    # a tag that a label cuts: its beginning is a boundary without a body, its end is text
+    cut = F.regexp_replace(joined, rf"\[([^\]{_OPEN}]*)({_OPEN}P[^\]]*\])", _OPEN + "B$1$2")
+    marked = F.regexp_replace(cut, rf"\[([^\]{_OPEN}]*)\]", _OPEN + "B$1" + _SHUT)
     parts = F.split(marked, _OPEN, -1)
 
     def segment(part: Column, i: Column) -> Column:

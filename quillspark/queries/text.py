@@ -127,7 +127,8 @@ def plain_labels(spark: SparkSession, d: str) -> DataFrame:
 _SEGMENTS = rf"""lines AS (SELECT song_id, n, line, {_tokens('line')} AS t FROM (
     SELECT song_id, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS n
     FROM (SELECT song_id, regexp_replace(text_raw, '\[[^\]A-Za-z]*\]', '', 'g') AS x FROM songs1 WHERE text_raw IS NOT NULL))),
-marked AS (SELECT song_id, regexp_replace(string_agg(coalesce(chr(1) || 'P' || ({_LABEL}) || chr(2), line), chr(10) ORDER BY n), '\[([^\]]*)\]', chr(1) || 'B\1' || chr(2), 'g') AS x FROM lines GROUP BY 1),
+marked AS (SELECT song_id, regexp_replace(regexp_replace(string_agg(coalesce(chr(1) || 'P' || ({_LABEL}) || chr(2), line), chr(10) ORDER BY n), '\[([^\]\x01]*)(\x01P[^\]]*\])', chr(1) || 'B\1\2', 'g'),
+    '\[([^\]\x01]*)\]', chr(1) || 'B\1' || chr(2), 'g') AS x FROM lines GROUP BY 1),
 parts AS (SELECT song_id, generate_subscripts(string_split(x, chr(1)), 1) AS i, unnest(string_split(x, chr(1))) AS part FROM marked),
 cut AS (SELECT song_id, i, string_split(part, chr(2))[1] AS head, CASE WHEN i = 1 THEN part ELSE substr(part, length(string_split(part, chr(2))[1]) + 2) END AS body FROM parts),
 outer_ AS (SELECT song_id, i, {strip_sql('body')} AS text,

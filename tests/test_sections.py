@@ -140,3 +140,11 @@ def test_unknown_strategy(spark):
 def test_brackets(spark, content, kind, section):
     df = spark.createDataFrame([(content,)], "c string").select(sec.bracket_kind(F.col("c")).alias("k"), sec.bracket_section(F.col("c")).alias("s"))
     assert tuple(df.first()) == (kind, section)
+
+
+def test_label_lines_inside_a_tag(spark):
+    texts = ["[Intro\nVerse\nby me] la la", "one [a\nChorus\nb\nBridge\nc]\nd", "[x [y\nHook\nz] w\n[Outro] v", "[open\nVerse\nno end", "Verse\n] la [Chorus]\nlo"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: [(s.text, s.section, s.split_by) for s in r.s] for r in df.select("i", sec.outer_segments(F.col("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == outer(t), t
