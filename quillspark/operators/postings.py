@@ -53,17 +53,18 @@ def fit_tfidf(docs: DataFrame, doc: str, tokens: Column, max_features: int | Non
 
     The corpus is tokenised once; the written postings serve ``tfidf_vectors`` too.
     """
-    post = materialize(postings(docs, doc, tokens), "postings")
-    totals = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    # a document without any term has one row with a null term, so that the number of documents is in the table too
+    each = docs.select(doc, F.explode_outer(tokens).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    table = materialize(each, "postings")
+    n_docs = table.select(doc).distinct().count()
+    post = table.where("term is not null")
     terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     if max_features is not None:
         terms = terms.orderBy(F.desc("cf"), "term").limit(max_features)
-    idf = terms.crossJoin(F.broadcast(totals)).select("term", "df", smooth_idf(F.col("n_docs"), F.col("df")).alias("idf"), "n_docs")
-    idf = materialize(idf, "idf")
-    mean = idf.agg(F.avg("idf").alias("mean_idf"), F.count(F.lit(1)).alias("n_terms"), F.max("n_docs").alias("n_docs"))
-    # without any term the number of documents is still to be counted
-    counted = mean.select("mean_idf", "n_terms", "n_docs") if idf.take(1) else totals.crossJoin(mean.drop("n_docs"))
-    return TfIdf(idf.drop("n_docs"), materialize(counted.select("n_docs", "mean_idf", "n_terms"), "totals"), post)
+    idf = materialize(terms.select("term", "df", smooth_idf(F.lit(n_docs), F.col("df")).alias("idf")), "idf")
+    made = idf.agg(F.avg("idf").alias("mean_idf"), F.count(F.lit(1)).alias("n_terms")).first()
+    totals = docs.sparkSession.createDataFrame([(n_docs, made.mean_idf, made.n_terms)], "n_docs bigint, mean_idf double, n_terms bigint")
+    return TfIdf(idf, totals, post)
 
 
 def tfidf_vectors(docs: DataFrame | None, doc: str, tokens: Column, model: TfIdf) -> DataFrame:
@@ -87,21 +88,23 @@ def without_signal(docs: DataFrame, doc: str, vectors: DataFrame) -> DataFrame:
     return docs.select(doc).distinct().join(vectors.select(doc).distinct(), doc, "left_anti")
 
 
-def sparse_scores(queries: DataFrame, query: str, corpus: DataFrame, doc: str) -> DataFrame:
-    """(query, doc, score): dot products of the pairs that share a term."""
-    met = _meet(queries.select(query, "term", F.col("weight").alias("qw")), corpus.select(doc, "term", F.col("weight").alias("dw")), query, doc)
+def sparse_scores(queries: DataFrame, query: str, corpus: DataFrame, doc: str, counted: DataFrame | None = None) -> DataFrame:
+    """(query, doc, score): dot products of the pairs that share a term; ``counted`` as in ``_meet``."""
+    met = _meet(queries.select(query, "term", F.col("weight").alias("qw")), corpus.select(doc, "term", F.col("weight").alias("dw")), query, doc, counted)
     return met.groupBy(query, doc).agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
 
 
-def _meet(queries: DataFrame, corpus: DataFrame, query: str, doc: str, salts: int = 16) -> DataFrame:
+def _meet(queries: DataFrame, corpus: DataFrame, query: str, doc: str, counted: DataFrame | None = None, salts: int = 16) -> DataFrame:
     """Join of query terms and postings on the term.
 
-    The query side is written and counted: up to ``BROADCAST_TERMS`` rows it
-    is broadcast and the postings stay where they are; beyond that the
-    postings of a hot term are parted by document and the query side copied.
+    The query side is written and counted, or a written table that has no
+    fewer rows (``counted``) is: up to ``BROADCAST_TERMS`` rows it is
+    broadcast and the postings stay where they are; beyond that the postings
+    of a hot term are parted by document and the query side copied.
     """
-    queries = materialize(queries, "query_terms")
-    if queries.count() <= BROADCAST_TERMS:
+    if counted is None:
+        counted = queries = materialize(queries, "query_terms")
+    if counted.count() <= BROADCAST_TERMS:
         return corpus.join(F.broadcast(queries), "term")
     left = corpus.withColumn("__salt", F.pmod(F.xxhash64(doc), F.lit(salts)).cast("int"))
     right = queries.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -126,15 +129,15 @@ def fit_bm25(docs: DataFrame, doc: str, tokens: Column) -> Bm25:
     each = docs.select(doc, F.explode_outer(tokens).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
     dl = F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).over(Window.partitionBy(doc)), F.lit(0))
     table = materialize(each.withColumn("dl", dl), "postings")
-    # the rows of a document lie together, so most of it is one row a document before the shuffle; written, as two readers follow
-    size = table.groupBy(doc).agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    size = materialize(size, "bm25_size")
+    # the rows of a document lie together, so most of it is one row a document before the shuffle
+    size = table.groupBy(doc).agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).first()
     post = table.where("term is not null")
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(size)).select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    n = F.lit(size.n_docs)
+    raw = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", (F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     raw = materialize(raw, "bm25_idf")
-    stats = materialize(size.crossJoin(raw.agg(F.avg("raw").alias("mean_idf"))), "bm25_stats")
-    idf = raw.crossJoin(F.broadcast(stats)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    mean = raw.agg(F.avg("raw").alias("m")).first().m
+    stats = docs.sparkSession.createDataFrame([(size.n_docs, size.avgdl, mean)], "n_docs bigint, avgdl double, mean_idf double")
+    idf = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.lit(mean)).otherwise(F.col("raw")).alias("idf"))
     return Bm25(post, idf, stats)
 
 
@@ -170,9 +173,9 @@ def query_bag(queries: DataFrame, query: str, tokens: Column) -> DataFrame:
 
 
 def bm25_scores(bag: DataFrame, query: str, model: Bm25, doc: str) -> DataFrame:
-    """(query, doc, score) of all documents that hold a query token."""
+    """(query, doc, score) of all documents that hold a query token; ``bag`` should be a written table."""
     known = counted_join(bag, model.idf.select("term", "idf"), ["term"], F.col(query), most=BROADCAST_TERMS)
-    met = _meet(known, model.postings, query, doc).crossJoin(F.broadcast(model.stats.select("avgdl")))
+    met = _meet(known, model.postings, query, doc, bag).crossJoin(F.broadcast(model.stats.select("avgdl")))
     tf, dl = F.col("tf"), F.col("dl")
     gain = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     return met.groupBy(query, doc).agg(F.sum(gain).alias("score"))

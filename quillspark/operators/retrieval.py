@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import NO_SIGNAL, norm
-from ..runtime import materialize, skewed_join
+from ..runtime import HOT_ROWS, materialize, skewed_join
 from . import fusion, knn
 from . import postings as inv
 
@@ -47,7 +47,7 @@ def dense_sparse_search(queries: DataFrame, chunks: DataFrame, k: int = 50) -> t
     model = inv.fit_tfidf(chunks, "chunk_id", terms)
     asked = inv.tfidf_vectors(queries.where(~is_blank(F.col("query"))), "query_id", tx.tfidf_terms(F.col("query")), model)
     asked = materialize(asked, "query_vectors")
-    scored = inv.sparse_scores(asked, "query_id", inv.tfidf_vectors(None, "chunk_id", terms, model), "chunk_id").withColumn("score", F.round("score", DECIMALS))
+    scored = inv.sparse_scores(asked, "query_id", inv.tfidf_vectors(None, "chunk_id", terms, model), "chunk_id", asked).withColumn("score", F.round("score", DECIMALS))
     best = fusion.top_k(scored.where("score > 0"), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
     norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("query_norm"))
     return _songs_of(best, chunks), _statuses(queries, norms, NO_SIGNAL)
@@ -102,7 +102,9 @@ def lexical_search(queries: DataFrame, songs: DataFrame, chunks: DataFrame, k: i
     bag = materialize(inv.query_bag(queries.where(~is_blank(F.col("query"))), "query_id", tx.tokenize_words(F.col("query"))), "bag")
     model = index if index is not None else fit_lexical(songs)
     terms = inv.few_terms(bag)
-    idf = materialize(inv.of_terms(model.idf, terms).join(bag.select("term").distinct(), "term", "left_semi"), "idf")
+    idf = inv.of_terms(model.idf, terms)
+    if terms is None:
+        idf = materialize(idf.join(bag.select("term").distinct(), "term", "left_semi"), "idf")
     model = inv.Bm25(inv.of_terms(model.postings, terms), idf, model.stats)
     scored = inv.bm25_scores(bag, "query_id", model, "song_id").withColumn("score", F.round("score", DECIMALS)).where("score > 0")
     best = materialize(fusion.top_k(scored, ["query_id"], [F.desc("score"), F.asc("song_id")], k), "lexical")
@@ -122,10 +124,15 @@ def best_chunks(hits: DataFrame, bag: DataFrame, idf: DataFrame, chunks: DataFra
     held = mine.select("chunk_id", F.explode(F.array_distinct(tx.tokenize_words(F.col("text")))).alias("term"))
     held = held.join(bag.select("term").distinct(), "term", "left_semi")
     weights = bag.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    # a song that most queries find is a hot key, and so are its chunks with a term that most queries ask for
+    # a song that most queries find is a hot key, and so are its chunks with a term that most queries ask for;
+    # a query has a song, and a chunk and a term, at most once, so few queries make no hot key
     pairs = skewed_join(wanted, mine.select("chunk_id", "song_id", "position"), ["song_id"], F.col("query_id"), counted=hits)
-    asked = materialize(pairs.select("query_id", "chunk_id").join(weights, "query_id"), "asked_chunks")
-    gained = skewed_join(asked, held, ["chunk_id", "term"], F.col("query_id")).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("gain"))
+    asked = pairs.select("query_id", "chunk_id").join(weights, "query_id")
+    if bag.count() > HOT_ROWS:
+        met = skewed_join(materialize(asked, "asked_chunks"), held, ["chunk_id", "term"], F.col("query_id"))
+    else:
+        met = asked.join(held, ["chunk_id", "term"])
+    gained = met.groupBy("query_id", "chunk_id").agg(F.sum("w").alias("gain"))
     scored = pairs.join(gained, ["query_id", "chunk_id"], "left").na.fill(0.0, ["gain"])
     best = F.min(F.struct((-F.round("gain", DECIMALS)).alias("neg"), F.col("position").alias("position"), F.col("chunk_id").alias("chunk_id"))).alias("m")
     return scored.groupBy("query_id", "song_id").agg(best).select("query_id", "song_id", F.col("m.chunk_id").alias("best_chunk_id"))
