@@ -299,9 +299,9 @@ def _arm_reports(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return gate.arm_reports(gate.arm_rows(one.unionByName(other), corpus, model.idf, model.totals.first().n_docs))
 
 
-@query(f"{_ARMED} SELECT arm, query_type, count(*) AS n, round(avg(cross_idf), 6) AS mean_idf, round(max(cross_idf), 6) AS worst_idf, count(*) FILTER (cross_idf >= gate) AS n_over FROM ro GROUP BY 1, 2")
+@query(f"{_ARMED} SELECT arm, query_type, count(*) AS n, round(avg(cross_idf), 9) AS mean_idf, round(max(cross_idf), 6) AS worst_idf, count(*) FILTER (cross_idf >= gate) AS n_over FROM ro GROUP BY 1, 2")
 def arm_cross_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return _arm_reports(spark, d)["cross"].withColumns({c: F.round(c, 6) for c in ("mean_idf", "worst_idf")})
+    return _arm_reports(spark, d)["cross"].withColumns({"mean_idf": F.round("mean_idf", 9), "worst_idf": F.round("worst_idf", 6)})
 
 
 @query(f"{_ARMED} SELECT arm, query_type, round(avg(ratio), 6) AS mean_ratio, round(avg(own_idf), 6) AS mean_idf, round(max(own_idf), 6) AS worst_idf FROM ro GROUP BY 1, 2")
@@ -314,9 +314,9 @@ def arm_failures(spark: SparkSession, d: str) -> DataFrame:
     return _arm_reports(spark, d)["failures"]
 
 
-@query(f"{_ARMED} SELECT arm, place, count(*) AS n, count(*) FILTER (round(own_idf, 6) >= gate) AS n_failed, round(avg(cross_idf), 6) AS mean_idf FROM ro GROUP BY 1, 2")
+@query(f"{_ARMED} SELECT arm, place, count(*) AS n, count(*) FILTER (round(own_idf, 6) >= gate) AS n_failed, round(avg(cross_idf), 9) AS mean_idf FROM ro GROUP BY 1, 2")
 def arm_places(spark: SparkSession, d: str) -> DataFrame:
-    return _arm_reports(spark, d)["places"].withColumn("mean_idf", F.round("mean_idf", 6))
+    return _arm_reports(spark, d)["places"].withColumn("mean_idf", F.round("mean_idf", 9))
 
 
 @query(
