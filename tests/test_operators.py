@@ -15,7 +15,7 @@ from quillspark.operators import postings as inv
 from quillspark.functions import text as tx
 from quillspark.queries import evaluation as queries
 from quillspark.queries import search
-from quillspark.runtime import counted_join, discard, hot_keys, materialize, ranked, salted_join, shared_dir, skewed_join
+from quillspark.runtime import counted_join, discard, hot_keys, materialize, ranked, salted_join, skewed_join
 
 
 def rrf(lists, k=60):
@@ -177,7 +177,7 @@ def test_registered_approximate_search_recall(spark, tables):
         assert search.approximate_overlap(spark, d).first().recall_reached
 
 
-def test_lists_part_clusters(spark):
+def test_lists_part_clusters(spark, tmp_path):
     """In clustered vectors few lists are probed, and the index is read back as it was written."""
     rng = np.random.default_rng(3)
     at = rng.standard_normal((20, 16)) * 6
@@ -185,7 +185,7 @@ def test_lists_part_clusters(spark):
     df = spark.createDataFrame([(f"c{i:04d}", "s", x.tolist()) for i, x in enumerate(v)], "chunk_id string, song_id string, embedding array<float>")
     lists = knn.fit_lists(df)
     assert lists.probes <= 6 < 30 < len(lists.centroids)
-    path = f"{shared_dir(spark)}/lists"
+    path = str(tmp_path / "lists")
     knn.save_lists(spark, lists, knn.list_blocks(df, lists), path)
     blocks, again = knn.load_lists(spark, path)
     assert again.probes == lists.probes and (again.centroids == lists.centroids).all()
