@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import embedders, evaluation, fusion, knn, retrieval
 from ..operators import postings as inv
-from ..runtime import table
+from ..runtime import counted_join, table
 from .base import BEST_CHUNK, BM25, CHUNKS, DENSE, EVERY, HITS, HYBRID, SEARCHES, SONGS, TFIDF, chunks, hits, query, searches, songs, strip_sql
 
 _LEX = f"WITH {SONGS}, {CHUNKS}, {SEARCHES}, {BM25}, {BEST_CHUNK}"
@@ -217,7 +217,7 @@ _RANKED = f"""{HITS}, turned AS (SELECT h.*, row_number() OVER (PARTITION BY que
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     """The hits table as ranked lists, one per query and arm."""
     arms = table(spark, d, "retrieval_configs").select("arm", "higher_is_better")
-    h = hits(spark, d).join(F.broadcast(arms), "arm")  # six rows of configuration
+    h = counted_join(hits(spark, d), arms, ["arm"], F.col("song_id"))
     key = F.when(F.col("higher_is_better"), -F.col("score")).otherwise(F.col("score"))
     return fusion.top_k(h.withColumn("key", key), ["query_id", "arm"], [F.asc("key"), F.asc("song_id")], 50).select("query_id", "arm", "song_id", "score", "rank")
 
