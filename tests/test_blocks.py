@@ -41,3 +41,24 @@ def test_lexical_equals_all_pairs(spark, texts, monkeypatch, least):
     for r in retrieval.lexical_search(queries, songs, chunks, 10)[0].collect():
         got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.song_id))
     assert {q: [x[1:] for x in sorted(rows)] for q, rows in got.items()} == {q: best(s, 10) for q, s in want.items() if best(s, 10)}
+
+
+def test_dense_equals_all_pairs(spark, texts, monkeypatch):
+    monkeypatch.setattr(bl, "LEAST_QUERIES", 9)
+    _, chunks, queries = texts
+    terms = tx.tfidf_terms(F.col("text"))
+    model = inv.fit_tfidf(chunks, "chunk_id", terms)
+    q = inv.tfidf_vectors(queries, "query_id", tx.tfidf_terms(F.col("query")), model)
+    want = {}
+    for r in inv.sparse_scores(q, "query_id", inv.tfidf_vectors(None, "chunk_id", terms, model), "chunk_id").collect():
+        want.setdefault(r.query_id, {})[r.chunk_id] = round(r.score, 6)
+    got = {}
+    for r in retrieval.sparse_chunks(queries, chunks, 10)[0].collect():
+        got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.chunk_id))
+    assert {x: [y[1:] for y in sorted(rows)] for x, rows in got.items()} == {x: best(s, 10) for x, s in want.items()}
+
+
+def test_empty_tables(spark, texts):
+    songs, chunks, queries = texts
+    assert retrieval.lexical_search(queries, songs.limit(0), chunks.limit(0))[0].count() == 0
+    assert retrieval.dense_sparse_search(queries.limit(0), chunks)[0].count() == 0
