@@ -58,6 +58,12 @@ def test_dense_equals_all_pairs(spark, texts, monkeypatch):
     assert {x: [y[1:] for y in sorted(rows)] for x, rows in got.items()} == {x: best(s, 10) for x, s in want.items()}
 
 
+def test_lexical_statuses_without_a_search(spark, texts):
+    songs, chunks, queries = texts
+    rows = lambda df: sorted(df.collect())
+    assert rows(retrieval.lexical_statuses(queries, songs)) == rows(retrieval.lexical_search(queries, songs, chunks)[1])
+
+
 def test_empty_tables(spark, texts):
     songs, chunks, queries = texts
     assert retrieval.lexical_search(queries, songs.limit(0), chunks.limit(0))[0].count() == 0
