@@ -64,6 +64,15 @@ def test_lexical_statuses_without_a_search(spark, texts):
     assert rows(retrieval.lexical_statuses(queries, songs)) == rows(retrieval.lexical_search(queries, songs, chunks)[1])
 
 
+def test_statuses_need_the_best_hit_only(spark, texts):
+    songs, chunks, queries = texts
+
+    def statuses(k, c):
+        return sorted((r.query_id, r.status, *sorted(r.branch_statuses.items())) for r in retrieval.hybrid(retrieval.dense_sparse_search(queries, chunks, k), retrieval.lexical_search(queries, songs, c, k))[1].collect())
+
+    assert statuses(1, None) == statuses(50, chunks)
+
+
 def test_empty_tables(spark, texts):
     songs, chunks, queries = texts
     assert retrieval.lexical_search(queries, songs.limit(0), chunks.limit(0))[0].count() == 0
