@@ -79,7 +79,7 @@ def test_empty_tables(spark, texts):
     assert retrieval.dense_sparse_search(queries.limit(0), chunks)[0].count() == 0
 
 
-@pytest.mark.parametrize("name", ["lexical_search", "dense_search"])
+@pytest.mark.parametrize("name", ["lexical_search", "dense_search", "shown_results"])
 def test_all_queries_are_searched(spark, tables, name):
     """Not those alone whose id is divisible by 20."""
     from quillspark.queries import ORACLES, QUERIES
